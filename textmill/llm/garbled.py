@@ -77,7 +77,7 @@ def _automaton():
             if shown == c or len(shown) < 2 or shown.isascii():
                 continue
             # Letters, or a letter and a mark of ordinary text, also occur in sound text.
-            weak = shown[0].isalpha() and ((len(raw) == 2 and shown[1] in weak_second) or (all(x.isalpha() for x in shown) and enc not in LATIN_LIKE))
+            weak = shown[0].isalpha() and ((len(raw) == 2 and shown[1] in weak_second) or (all(x.isalpha() for x in shown) and enc not in LATIN_LIKE and (len(raw) == 2 or enc == "cp850")))
             weak = weak and not (shown[0] in "ÃÂ" and shown[1] in "»«\xa0")
             old = known.get(shown)
             if old is None:
