@@ -64,3 +64,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context, where they can't import it themselves."""
+    sc = spark.sparkContext
+    if getattr(sc, "_textmill_shipped", False):
+        return
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="textmill-")) / "textmill.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._textmill_shipped = True
