@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import cutoff, garbled, lang, lookalike, rebuild
+
+from textmill.llm import cutoff, garbled, lang, lookalike, pairs, rebuild
+from textmill.session import ship
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -50,6 +53,13 @@ def p5_unified_pages(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "corpus_pages").select("id", lookalike.unify(F.col("text")).alias("text"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    items, examples = _t(spark, sf, "memory_items"), _t(spark, sf, "instruction_examples")
+    both = pairs.memory_pairs(items).unionByName(pairs.conversation_pairs(examples))
+    texts = items.select(F.explode(F.array("question", "answer")).alias("text")).unionByName(examples.select(F.explode("conversation.content").alias("text")))
+    return pairs.defects(both, texts, lang.fit(_t(spark, sf, "lang_samples"), examples))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = cutoff.countable(_t(spark, sf, "instruction_examples"))
     return cutoff.keep(rows, cutoff.cutoffs(rows, _t(spark, sf, "keep_targets"))).select("source", "id")
