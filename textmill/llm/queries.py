@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from textmill.llm import cutoff, garbled, lang, lookalike, pairs, rebuild
+from textmill.llm import cutoff, garbled, lang, lookalike, pairs, personal, rebuild
 from textmill.session import ship
 
 
@@ -28,6 +28,21 @@ def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
     return lang.label_turns(examples, lang.fit(_t(spark, sf, "lang_samples"), examples)).drop("wrong").groupBy("id", "turn_no", "lang").agg(F.max("confidence").alias("confidence"))
 
 
+def _personal_texts(spark: SparkSession, sf: str) -> DataFrame:
+    messages = personal._texts(_t(spark, sf, "chat_messages"), "chat_messages", "id", ["content"])
+    return messages.unionByName(personal._texts(_t(spark, sf, "memory_items"), "memory_items", "id", ["question", "answer"]))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.numbered(personal.find(_personal_texts(spark, sf), _t(spark, sf, "person_names")))
+
+
+def p2_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that hold personal information, with placeholders."""
+    texts = _personal_texts(spark, sf)
+    return personal.mask(texts, personal.find(texts, _t(spark, sf, "person_names")))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild.defects(_t(spark, sf, "chat_messages"), _t(spark, sf, "conversations"))
 
