@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from textmill.llm import cutoff, garbled, lang, lookalike, pairs, personal, rebuild
+from textmill.llm import boilerplate, cutoff, garbled, lang, lookalike, pairs, personal, rebuild
 from textmill.session import ship
 
 
@@ -43,6 +43,16 @@ def p2_masked(spark: SparkSession, sf: str) -> DataFrame:
     return personal.mask(texts, personal.find(texts, _t(spark, sf, "person_names")))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages = boilerplate.pages_of(_t(spark, sf, "corpus_pages"))
+    return boilerplate.boilerplate_lines(pages, boilerplate.fit(pages)).distinct()
+
+
+def p3_main_content(spark: SparkSession, sf: str) -> DataFrame:
+    pages = boilerplate.pages_of(_t(spark, sf, "corpus_pages"))
+    return boilerplate.main_content(pages, boilerplate.fit(pages))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild.defects(_t(spark, sf, "chat_messages"), _t(spark, sf, "conversations"))
 
