@@ -29,6 +29,8 @@ from textmill.llm.lookalike import canonical
 
 MAX_PAGES = 1_500
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 30, 4, 0.25, 32, 20
+FEATURES = 21
+PAGES_AT_ONCE = 500
 
 # Classes of lines, by the words they are made of. The first that matches holds.
 CLASSES = (
@@ -71,18 +73,23 @@ def _stops(t: str) -> bool:
     return t.rstrip("\"'”»’)]")[-1:] in (".", "!", "?", "؟", "…")
 
 
-_HINT = re.compile(r"cookie|privacy|©|copyright|reading room|salle de lecture|rights reserved|droits réservés|vie privée|technical data|اشترك|خصوصيت|الارتباط|حقوق|مساحة صغيرة|ملفات صغيرة|باستخدامك|datenschutz|privacidad|subscribe|abonnez", re.IGNORECASE)
+# Words without which a long line is a paragraph.
+_HINTS = ("cookie", "privacy", "©", "copyright", "reading room", "salle de lecture", "rights reserved", "droits réservés", "vie privée", "technical data", "subscribe", "abonnez", "خصوصيت", "الارتباط", "حقوق", "مساحة صغيرة", "ملفات صغيرة", "باستخدامك", "اشترك", "datenschutz", "privacidad")
 _DIGITS = re.compile(r"[\d٠-٩]+")
 _KINDS_SEEN: dict[str, int] = {}
 
 
+def _hinted(low: str) -> bool:
+    return any(h in low for h in _HINTS)
+
+
 def kind_of(line: str) -> int:
     """The class of a line; lines that differ in digits only are of one class and are remembered."""
     t = line.strip()
     if not t:
         return KIND["blank"]
     n = len(t)
-    if n > 110 and (n > 330 or not _HINT.search(t)):
+    if n > 110 and (n > 330 or not _hinted(t.lower())):
         return KIND["quote"] if t[0] in "“\"«„>" else KIND["bullet"] if _BULLET.match(t) else KIND["para"]
     key = _DIGITS.sub("0", t)
     k = _KINDS_SEEN.get(key)
@@ -177,45 +184,53 @@ def states(lines: list[str], kinds: list[int], title_at: int) -> np.ndarray:
     return bad
 
 
-def features(lines: list[str], kinds: list[int], title_at: int, zone_end: int) -> np.ndarray:
-    n = len(lines)
-    k = np.array(kinds)
-    size = np.array([len(t) for t in lines], dtype=np.float32)
-    full = (k != KIND["blank"]).astype(np.float32)
-    order = np.cumsum(full)
-    total = max(float(order[-1]), 1.0) if n else 1.0
-    body = _IS_BODY[k]
-    tail = _IS_TAIL[k]
-    text = size * body
-    before, after = np.cumsum(text) - text, text.sum() - np.cumsum(text)
-    tails_before, tails_after = np.cumsum(tail) - tail, tail.sum() - np.cumsum(tail)
+def features(pages: list[tuple[list[str], list[int], int, int]]) -> np.ndarray:
+    """Rows of features for the lines of pages (lines, kinds, line of the title, last article line), one page behind the other."""
+    sizes = np.array([len(p[0]) for p in pages], dtype=np.int64)
+    n = int(sizes.sum())
+    if not n:
+        return np.zeros((0, FEATURES), dtype=np.float32)
+    page = np.repeat(np.arange(len(pages)), sizes)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    last = np.repeat(np.cumsum(sizes), sizes) - 1
+    at = np.arange(n)
+    k = np.array([x for p in pages for x in p[1]])
+    lines = [t for p in pages for t in p[0]]
+    size = np.array([len(t) for t in lines], dtype=np.float64)
+
+    def upto(v: np.ndarray) -> np.ndarray:
+        """Sums within the page, this line included."""
+        c = np.cumsum(v)
+        return c - (c - v)[first]
+
+    body, tail = _IS_BODY[k].astype(np.float64), _IS_TAIL[k].astype(np.float64)
+    full = (k != KIND["blank"]).astype(np.float64)
+    order, text, tails = upto(full), upto(size * body), upto(tail)
+    total = np.maximum(order[last], 1)
+    near = np.full((4, n), KIND["blank"])
     live = np.flatnonzero(full)
-    prev, nxt = np.full(n, KIND["blank"]), np.full(n, KIND["blank"])
-    prev2, nxt2 = prev.copy(), nxt.copy()
-    if len(live) > 1:
-        prev[live[1:]], nxt[live[:-1]] = k[live[:-1]], k[live[1:]]
-    if len(live) > 2:
-        prev2[live[2:]], nxt2[live[:-2]] = k[live[:-2]], k[live[2:]]
+    for row, step in ((0, 1), (2, 2)):
+        if len(live) > step:
+            same = page[live[step:]] == page[live[:-step]]
+            near[row, live[step:][same]] = k[live[:-step][same]]
+            near[row + 1, live[:-step][same]] = k[live[step:][same]]
     # blocks: runs of lines of one kind
-    edge = np.concatenate(([True], k[1:] != k[:-1])) if n else np.zeros(0, dtype=bool)
+    edge = np.concatenate(([True], (k[1:] != k[:-1]) | (page[1:] != page[:-1])))
     block = np.cumsum(edge) - 1
-    length = np.bincount(block, minlength=1)[block].astype(np.float32) if n else np.zeros(0, dtype=np.float32)
-    head = np.full(n, -1)
-    last = -1
-    for i in range(n):
-        if k[i] in TAIL:
-            last = i
-        elif k[i] in BODY:
-            last = -1
-        head[i] = i - last if last >= 0 else -1
-    at = np.arange(n, dtype=np.float32)
-    rel = np.where(title_at >= 0, at - title_at, -999.0)
-    cols = [
-        k, prev, nxt, prev2, nxt2, size, np.array([len(t.split()) for t in lines], dtype=np.float32),
-        np.array([_stops(t) for t in lines], dtype=np.float32), order / total, order, total - order, length,
-        before, after, tails_before, tails_after, head, rel, (rel == 0), at - zone_end, np.array([len(_DIGITS.findall(t)) for t in lines], dtype=np.float32),
-    ]
-    return np.stack([np.asarray(c, dtype=np.float32) for c in cols], axis=1) if n else np.zeros((0, 21), dtype=np.float32)
+    length = np.bincount(block)[block]
+    # lines since the head of a tail block, if no text came between
+    t_last = np.maximum.accumulate(np.where(tail > 0, at, -1))
+    b_last = np.maximum.accumulate(np.where(body > 0, at, -1))
+    head = np.where((t_last >= first) & (t_last > b_last), at - t_last, -1)
+    title = np.repeat(np.array([p[2] for p in pages]), sizes)
+    end = np.repeat(np.array([p[3] for p in pages]), sizes)
+    place = at - first
+    rel = np.where(title >= 0, place - title, -999)
+    cols = (
+        k, *near, size, np.array([t.count(" ") + 1 for t in lines]), np.array([_stops(t) for t in lines]), order / total, order, total - order, length,
+        text - size * body, text[last] - text, tails - tail, tails[last] - tails, head, rel, rel == 0, place - end, np.array([len(_DIGITS.findall(t)) for t in lines]),
+    )
+    return np.stack([np.asarray(c, dtype=np.float32) for c in cols], axis=1)
 
 
 class Trees:
@@ -275,13 +290,14 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     return model
 
 
-def read_page(text: str, title: str | None) -> tuple[list[str], list[int], int, np.ndarray, np.ndarray]:
+def read_page(text: str, title: str | None) -> tuple[list[str], list[int], int, int, np.ndarray]:
+    """Lines, their classes, the line of the title, the last line that rules take for article, and the rules' labels."""
     lines = [t.strip() for t in (canonical(text) if not text.isascii() else text).split("\n")]
     kinds = [kind_of(t) for t in lines]
     at = find_title(lines, kinds, title)
     bad = states(lines, kinds, at)
     good = np.flatnonzero(bad == 0)
-    return lines, kinds, at, bad, features(lines, kinds, at, int(good[-1]) if len(good) else -1)
+    return lines, kinds, at, int(good[-1]) if len(good) else -1, bad
 
 
 def decode(kinds: list[int], title_at: int, p: np.ndarray) -> np.ndarray:
@@ -314,16 +330,12 @@ def decode(kinds: list[int], title_at: int, p: np.ndarray) -> np.ndarray:
 def fit(pages: DataFrame) -> Trees:
     """Fit on the lines of at most ``MAX_PAGES`` pages, chosen by a hash of the id."""
     rows = pages.where("id is not null and text is not null").select(F.md5("id").alias("h"), "text", "title").orderBy("h").limit(MAX_PAGES).collect()
-    xs, ys = [], []
-    for r in rows:
-        lines, kinds, at, bad, x = read_page(r["text"], r["title"])
-        keep = np.array([k != KIND["blank"] for k in kinds])
-        xs.append(x[keep])
-        ys.append(bad[keep])
-    x = np.concatenate(xs) if xs else np.zeros((0, 21), dtype=np.float32)
+    read = [read_page(r["text"], r["title"]) for r in rows]
+    x = features([q[:4] for q in read])
     if len(x) < 2 * LEAST_LEAF:
-        return Trees([np.zeros(0)] * 21, [], 0.0)
-    return boost(x, np.concatenate(ys).astype(np.float64))
+        return Trees([np.zeros(0)] * FEATURES, [], 0.0)
+    keep = x[:, 0] != KIND["blank"]
+    return boost(x[keep], np.concatenate([q[4] for q in read])[keep].astype(np.float64))
 
 
 def pages_of(df: DataFrame, title: Column | None = None) -> DataFrame:
@@ -338,12 +350,11 @@ def boilerplate_lines(pages: DataFrame, model: Trees) -> DataFrame:
         m = shared.value
         for b in batches:
             ids, texts, titles = (b.column(c).to_pylist() for c in ("id", "text", "title"))
-            parts = [read_page(t, s) if t else None for t, s in zip(texts, titles)]
-            xs = [q[4] for q in parts if q]
-            p = m.predict(np.concatenate(xs)) if xs else np.zeros(0)
-            out_id, out_no, at = [], [], 0
-            for i, q in zip(ids, parts):
-                if q:
+            out_id, out_no = [], []
+            for lo in range(0, len(ids), PAGES_AT_ONCE):
+                read = [(i, read_page(t, s)) for i, t, s in zip(ids[lo : lo + PAGES_AT_ONCE], texts[lo:], titles[lo:]) if t]
+                p, at = m.predict(features([q[:4] for _, q in read])), 0
+                for i, q in read:
                     n = len(q[0])
                     nos = np.flatnonzero(decode(q[1], q[2], p[at : at + n]))
                     out_id += [i] * len(nos)
