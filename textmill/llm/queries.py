@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from textmill.llm import boilerplate, cutoff, garbled, lang, lookalike, pairs, personal, rebuild
+from textmill.llm import boilerplate, cutoff, garbled, lang, lookalike, mixture, packing, pairs, personal, rebuild, tokens
 from textmill.session import ship
 
 
@@ -94,6 +94,29 @@ def p7_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     return cutoff.cutoffs(cutoff.countable(_t(spark, sf, "instruction_examples")), _t(spark, sf, "keep_targets"))
 
 
+def _sizes(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return tokens.with_tokens(_t(spark, sf, "documents").select(*columns, "text"))
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of each document, or part of a document above the capacity, for each limit."""
+    return packing.pack(_sizes(spark, sf, "doc_id"), _t(spark, sf, "pack_limits"))
+
+
+def p8_fills(spark: SparkSession, sf: str) -> DataFrame:
+    limits = _t(spark, sf, "pack_limits")
+    return packing.fills(packing.pack(_sizes(spark, sf, "doc_id"), limits), limits)
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Chosen documents with their repeats, by position in the run."""
+    return mixture.mix(_sizes(spark, sf, "doc_id", "source"), _t(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.shares(*mixture.mix(_sizes(spark, sf, "doc_id", "source"), _t(spark, sf, "mix_targets")))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.restore(_t(spark, sf, "documents").select("doc_id", "text")).where("garbled").select("doc_id")
 
