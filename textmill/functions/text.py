@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +13,14 @@ WS_CLASS = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}
 WS = f"[{WS_CLASS}]"
 NON_WS = f"[^{WS_CLASS}]"
 ARABIC = r"[\x{0600}-\x{06FF}]"
-CODE_HINT = r"[{}();<>]|\b(?:def|class|import|return|function|const|let|var|if|else|for|while|SELECT|FROM)\b"
-# Words that mark a dialect, and harmful intent.
+CODE_HINT = r"[{}();<>]|(?:^|[^\p{L}\p{N}_])(?:def|class|import|return|function|const|let|var|if|else|for|while|SELECT|FROM)(?:$|[^\p{L}\p{N}_])"
+# Words that mark a dialect.
 DIALECT = ("عايز", "إزاي", "شلون", "مو", "وين", "شو")
-HARM_PATTERN_NOTE = "substring match on lower-cased text"
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, even where ``f`` uses it within a lambda."""
+    return F.transform(F.array(c), f)[0]
 
 
 def strip(c: Column) -> Column:

@@ -11,10 +11,14 @@ from textmill.functions import text as X
 HARMFUL = ("bomb", "weapon", "kill", "murder", "explosive", "malware", "phishing", "steal password", "suicide", "harm yourself", "قنبلة", "سلاح", "قتل", "انتحار", "اختراق", "برمجية خبيثة")
 
 
-def top_char_share(t: Column) -> Column:
+def top_char_share(text: Column) -> Column:
     """Share of the most frequent character, spaces included."""
-    counts = F.transform(F.array_distinct(X.chars(t)), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit(""))))
-    return X.share(F.coalesce(F.array_max(counts), F.lit(0)), F.length(t))
+
+    def of(t: Column) -> Column:
+        counts = F.transform(F.array_distinct(X.chars(t)), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit(""))))
+        return X.share(F.coalesce(F.array_max(counts), F.lit(0)), F.length(t))
+
+    return X.let(text, of)
 
 
 def quality_measures(text: Column) -> dict[str, Column]:
@@ -32,8 +36,13 @@ def quality_measures(text: Column) -> dict[str, Column]:
 
 def quality_filter(text: Column, min_length: int = 30, max_repetition: float = 0.30, min_unique: float = 0.25, max_symbols: float = 0.35) -> Column:
     """True for text to keep. Cheap tests come first; null text is dropped. Bounds themselves pass."""
-    m = quality_measures(text)
-    return (m["length"] >= min_length) & (m["words"] >= 1) & (m["symbols"] <= max_symbols) & (m["unique_words"] >= min_unique) & (m["top_char"] <= max_repetition)
+
+    def of(t: Column) -> Column:
+        symbols = F.length(F.regexp_replace(t, rf"[\p{{L}}{X.WS_CLASS}]", ""))
+        words = X.let(X.lower_words(t), lambda w: (F.size(w) >= 1) & (X.share(F.size(F.array_distinct(w)), F.size(w)) >= min_unique))
+        return (F.length(t) >= min_length) & (X.share(symbols, F.length(t)) <= max_symbols) & words & (top_char_share(t) <= max_repetition)
+
+    return X.let(X.strip(F.coalesce(text, F.lit(""))), of)
 
 
 def looks_unusable(text: Column) -> Column:

@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.operators.prefix import prefix_sums
 
 
-def interleave(df: DataFrame, bucket: str, order: list[str], ratios: dict[str, float]) -> DataFrame:
-    """Add ``slot``: rows of weighted buckets in the order of largest deficit.
-
-    The k-th row of a bucket of ratio r is due at (k + 1/2) / r; sorting by this keeps each
-    prefix within one row of its shares, however soon a bucket runs out. Buckets without a
-    positive ratio are left out; ties go by the order of ``ratios``.
-    """
-    good = {b: r for b, r in ratios.items() if r > 0}
-    if not good or any(r < 0 for r in ratios.values()):
+def deficit_cycle(ratios: dict[str, float], steps: int) -> list[str]:
+    """The bucket of each step of a cycle: always the one whose share lags most behind its ratio, the first of equals."""
+    if not any(r > 0 for r in ratios.values()) or any(r < 0 for r in ratios.values()):
         raise ValueError("ratios must not be negative, and one must be positive")
-    total = sum(good.values())
-    rows = prefix_sums(df.where(F.col(bucket).isin(*good)), [bucket], order, {"k": F.lit(1)}).drop("k_total")
-    ratio, place = F.lit(None).cast("double"), F.lit(None).cast("int")
-    for i, (b, r) in enumerate(good.items()):
-        ratio = F.when(F.col(bucket) == b, F.lit(r / total)).otherwise(ratio)
-        place = F.when(F.col(bucket) == b, F.lit(i)).otherwise(place)
-    rows = rows.withColumns({"due": (F.col("k") + 0.5) / ratio, "place": place})
-    return prefix_sums(rows, [], ["due", "place", *order], {"slot": F.lit(1)}).drop("k", "due", "place", "slot_total")
+    total = sum(ratios.values())
+    want = {b: r / total for b, r in ratios.items() if r > 0}
+    seen = dict.fromkeys(want, 0)
+    out: list[str] = []
+    for step in range(steps):
+        lag = {b: w - seen[b] / max(step, 1) for b, w in want.items()}
+        best = max(lag, key=lag.__getitem__)
+        seen[best] += 1
+        out.append(best)
+    return out
+
+
+def interleave(df: DataFrame, bucket: str, order: list[str], ratios: dict[str, float], steps: int = 10_000) -> DataFrame:
+    """Add ``slot``, the place of each row when weighted buckets take turns by largest deficit.
+
+    The k-th row of a bucket belongs to the k-th step of the bucket in the repeated cycle.
+    A bucket that runs out is skipped, which doesn't change the order of the others, so
+    sorting by the step is enough. The cycle has a fixed length and is broadcast.
+    """
+    cycle = deficit_cycle(ratios, steps)
+    count = {b: cycle.count(b) for b in set(cycle)}
+    seen = dict.fromkeys(count, 0)
+    table = []
+    for step, b in enumerate(cycle):
+        table.append((b, seen[b], count[b], step))
+        seen[b] += 1
+    plan = F.broadcast(df.sparkSession.createDataFrame(table, "_bucket string, _nth bigint, _each bigint, _step bigint"))
+    rows = prefix_sums(df.where(F.col(bucket).isin(*count)), [bucket], order, {"_k": F.lit(1)}).drop("_k_total")
+    each = F.create_map(*[x for b, n in count.items() for x in (F.lit(b), F.lit(n))])
+    rows = rows.withColumn("_each_own", F.element_at(each, F.col(bucket)))
+    rows = rows.join(plan, (F.col(bucket) == F.col("_bucket")) & (F.col("_k") % F.col("_each_own") == F.col("_nth")))
+    rows = rows.withColumn("_due", F.floor(F.col("_k") / F.col("_each")) * steps + F.col("_step"))
+    return prefix_sums(rows, [], ["_due", *order], {"slot": F.lit(1)}).drop("_k", "_due", "_bucket", "_nth", "_each", "_each_own", "_step", "slot_total")
 
 
 def shards(df: DataFrame, order: list[str], size: Column, shard_bytes: int, cap: int) -> DataFrame:
@@ -73,19 +96,19 @@ def accepted_requests(df: DataFrame, key: str, ts: str, order: str, limit: int,
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", accepted boolean"
 
-    def fold(part):
-        from collections import deque
-
-        part = part.sort_values(["_us", order])
-        held: deque = deque()
-        out = []
-        for t in part["_us"]:
-            while held and held[0] < t - seconds * 1_000_000:
-                held.popleft()
-            ok = len(held) < limit
-            if ok:
-                held.append(t)
-            out.append(ok)
-        return part.assign(accepted=out)
-
-    return rows.groupBy(key, "_seg").applyInPandas(fold, schema).drop("_us", "_seg")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, deque()
+        for part in batches:
+            out = []
+            for k, g, t in zip(part[key], part["_seg"], part["_us"]):
+                if (k, g) != at:
+                    at, held = (k, g), deque()
+                while held and held[0] < t - seconds * 1_000_000:
+                    held.popleft()
+                ok = len(held) < limit
+                if ok:
+                    held.append(t)
+                out.append(ok)
+            yield part.assign(accepted=out)
+
+    return rows.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", order).mapInPandas(fold, schema).drop("_us", "_seg")
