@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.lookalike import canonical
+from textmill.operators.sample import bounded_sample
 
 MAX_PAGES = 1_500
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 30, 4, 0.25, 32, 20
@@ -329,7 +330,7 @@ def decode(kinds: list[int], title_at: int, p: np.ndarray) -> np.ndarray:
 
 def fit(pages: DataFrame) -> Trees:
     """Fit on the lines of at most ``MAX_PAGES`` pages, chosen by a hash of the id."""
-    rows = pages.where("id is not null and text is not null").select(F.md5("id").alias("h"), "text", "title").orderBy("h").limit(MAX_PAGES).collect()
+    rows = bounded_sample(pages.where("id is not null and text is not null"), "id", MAX_PAGES).collect()
     read = [read_page(r["text"], r["title"]) for r in rows]
     x = features([q[:4] for q in read])
     if len(x) < 2 * LEAST_LEAF:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.lookalike import canonical
+from textmill.operators.sample import bounded_sample
 
 MAX_SAMPLES = 1_000
 MAX_LANDMARKS = 1_500
@@ -197,11 +198,8 @@ def fit(samples: DataFrame, examples: DataFrame | None = None) -> Model:
     model = train(known)
     if examples is None or not known:
         return model
-    picked = (
-        examples.where(F.lower(F.trim("language")).isin("ar", "ar-dialect") & F.col("id").isNotNull())
-        .select(F.md5("id").alias("h"), F.lower(F.trim("language")).alias("lang"), F.col("conversation.content").alias("texts"), F.col("conversation.role").alias("roles"))
-        .orderBy("h").limit(MAX_EXAMPLES).collect()
-    )
+    labelled = examples.where(F.lower(F.trim("language")).isin("ar", "ar-dialect") & F.col("id").isNotNull())
+    picked = bounded_sample(labelled.select("id", F.lower(F.trim("language")).alias("lang"), F.col("conversation.content").alias("texts"), F.col("conversation.role").alias("roles")), "id", MAX_EXAMPLES).collect()
     extra: list[tuple[str, str]] = []
     for r in picked:
         want = LANGS.index(r["lang"])
