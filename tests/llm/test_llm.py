@@ -266,7 +266,9 @@ def test_configurations_place_every_item():
 
 def test_token_counts(ready):
     df = ready.createDataFrame([(1, "hello hello"), (2, None), (3, "")], "i int, text string")
-    assert [r["tokens"] for r in tokens.with_tokens(df).orderBy("i").collect()] == [2, 0, 0]
+    enc = tokens._encoding(open(tokens.VOCABULARY, "rb").read())
+    assert enc.decode(enc.encode_ordinary(AR + EN)) == AR + EN
+    assert [r["tokens"] for r in tokens.with_tokens(df).orderBy("i").collect()] == [len(enc.encode_ordinary("hello hello")), 0, 0]
 
 
 # 9
