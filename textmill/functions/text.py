@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 WS_CLASS = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS = f"[{WS_CLASS}]"
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NON_WS = f"[^{WS_CLASS}]"
 ARABIC = r"[\x{0600}-\x{06FF}]"
 CODE_HINT = r"[{}();<>]|(?:^|[^\p{L}\p{N}_])(?:def|class|import|return|function|const|let|var|if|else|for|while|SELECT|FROM)(?:$|[^\p{L}\p{N}_])"
@@ -24,7 +25,7 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
