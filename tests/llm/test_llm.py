@@ -174,6 +174,13 @@ def test_look_alikes():
         assert c(c(t)) == c(t)
 
 
+def test_sound_characters_never_change():
+    import re
+
+    points = [n for a, b in re.findall(r"\\x\{?([0-9A-Fa-f]+)\}?(?:-\\x\{?([0-9A-Fa-f]+)\}?)?", lookalike.SOUND) for n in range(int(a, 16), int(b or a, 16) + 1)]
+    assert len(points) > 600 and not [n for n in points if chr(n) in lookalike._machine()[4]]
+
+
 def test_look_alike_pairs_equal_brute_force(ready):
     rows = [("1", "pass"), ("2", "раss"), ("3", "pass"), ("4", "ｐass"), ("5", None), ("6", ""), ("7", "​"), ("1", "pass"), (None, "pass"), ("8", "other"), ("9", "x" * 100_000), ("10", "х" + "x" * 99_999)]
     df = ready.createDataFrame(rows, "id string, text string").withColumn("form", F.lit("clash"))

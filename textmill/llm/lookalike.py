@@ -123,20 +123,9 @@ def canonical(text: str) -> str:
     return pattern.sub(write, text)
 
 
-def trigger_class() -> str:
-    """A Java character class that holds each character a change can begin with or end in."""
-    base = _machine()[4]
-    points = sorted(ord(c) for c in base if ord(c) > 0x7F)
-    # Marks count if they compose with their base; those of vocalised Arabic never do.
-    points += [*range(0x300, 0x370), *range(0x483, 0x48A), 0x653, 0x654, 0x655, *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100)]
-    out, points = [], sorted(set(points))
-    start = last = points[0]
-    for n in [*points[1:], 0x7FFFFFFF]:
-        if n != last + 1:
-            out.append(f"\\x{{{start:X}}}-\\x{{{last:X}}}")
-            start = n
-        last = n
-    return "[" + "".join(out) + "]"
+# A Java class of what no change begins with: ASCII, composed Latin letters, plain Arabic, common punctuation. A few
+# ranges are fast to test; anything else goes to the transducer, which decides.
+SOUND = r"\x00-\x7e\x{A1}-\x{AC}\x{AE}-\x{24F}\x{60C}\x{61B}\x{61F}\x{620}-\x{652}\x{660}-\x{669}\x{2010}-\x{2027}\x{20AC}"
 
 
 # Two marks on one letter may stand in either order.
@@ -151,7 +140,7 @@ def _canonical_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def unify(column: Column) -> Column:
     """The consistent form of a string column; text without a trigger doesn't leave the JVM."""
-    needs = column.rlike(trigger_class() + "|" + MARK_PAIR)
+    needs = column.rlike(f"[^{SOUND}]|{MARK_PAIR}")
     return F.when(needs, _canonical_udf(F.when(needs, column))).otherwise(column)
 
 
