@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.session import cut
+
 # Letters of other scripts with the shape of a Latin letter.
 LATIN_SHAPES = {
     "a": "аɑα", "b": "Ь", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уγ",
@@ -154,7 +156,8 @@ def look_alike_pairs(df: DataFrame, tbl: str, id_col: str, text: Column) -> Data
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), text.alias("_t")).where("id is not null and _t is not null")
     rows = rows.select("id", F.md5("_t").alias("raw"), unify(F.col("_t")).alias("_n"))
-    rows = rows.where(F.col("_n").rlike(r"\S")).select("id", "raw", F.md5("_n").alias("form")).distinct()
+    # fingerprints only; written once, since four joins read them
+    rows = cut(rows.where(F.col("_n").rlike(r"\S")).select("id", "raw", F.md5("_n").alias("form")).distinct())
     classes = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     rows = rows.join(classes, "form", "left_semi")
     variants = rows.select("form", "raw").distinct()
