@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from textmill.llm import lang
 from textmill.llm.lookalike import canonical
+from textmill.session import cut
 
 # Words that can't end a sentence.
 DANGLING = frozenset(
@@ -235,7 +236,7 @@ RARE = 20
 def sentence_ends(texts: DataFrame, column: str) -> DataFrame:
     """(word, n): how often each word ends a sentence, over all texts."""
     w = texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(END_WORD), F.lit(1))).alias("w"))
-    return w.groupBy(F.lower(F.regexp_replace("w", r"[\x{64B}-\x{652}\x{670}]", "")).alias("word")).agg(F.count("*").alias("n"))
+    return cut(w.groupBy(F.lower(F.regexp_replace("w", r"[\x{64B}-\x{652}\x{670}]", "")).alias("word")).agg(F.count("*").alias("n")))  # read twice
 
 
 def defects(pairs: DataFrame, texts: DataFrame, model: lang.Model) -> DataFrame:
