@@ -8,6 +8,7 @@ from textmill.functions import text as X
 from textmill.operators import align, convert, dedup, numeric, quality, retrieval, sequence
 from textmill.operators import conversation as C
 from textmill.operators.prefix import prefix_sums
+from textmill.plans import corpus, numbers
 from textmill.sources import readers, sinks
 from textmill.streaming import operators as stream
 
@@ -63,6 +64,16 @@ def test_deficit_cycle_and_interleave(spark):
     assert got == want
 
 
+def test_shards_take_whole_tables_and_stop_at_the_cap(spark, tmp_path):
+    text = "plain words of a document " * 4_000  # 104,000 bytes
+    spark.createDataFrame([(i, text, "en", "web") for i in range(30)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(corpus.shard_assignment(spark, str(tmp_path)).collect())
+    assert [r["doc_id"] for r in got] == list(range(30)) and {r["shard"] for r in got} == {0}
+    rows = spark.createDataFrame([(i, 10) for i in range(10)], "i int, n int")
+    capped = sequence.shards(rows, ["i"], F.col("n"), 25, 70)
+    assert sorted((r["i"], r["shard"]) for r in capped.collect()) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 2)]
+
+
 def test_packing_keeps_every_token(spark):
     sizes = [0, 3, 10, 25, 1, 7]
     df = spark.createDataFrame(list(enumerate(sizes)), "i int, n bigint")

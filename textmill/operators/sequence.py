@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from textmill.operators.prefix import prefix_sums
 
+# Defaults of the shards of tokenizer training.
+SHARD_BYTES = 256 * 1024**2
+MAX_CORPUS_BYTES = 10 * 1024**3
+
 
 def deficit_cycle(ratios: dict[str, float], steps: int) -> list[str]:
     """The bucket of each step of a cycle: always the one whose share lags most behind its ratio, the first of equals."""
@@ -51,7 +55,7 @@ def interleave(df: DataFrame, bucket: str, order: list[str], ratios: dict[str, f
     return prefix_sums(rows, [], ["_due", *order], {"slot": F.lit(1)}).drop("_k", "_due", "_bucket", "_nth", "_each", "_each_own", "_step", "slot_total")
 
 
-def shards(df: DataFrame, order: list[str], size: Column, shard_bytes: int, cap: int) -> DataFrame:
+def shards(df: DataFrame, order: list[str], size: Column, shard_bytes: int = SHARD_BYTES, cap: int = MAX_CORPUS_BYTES) -> DataFrame:
     """Add ``shard``: running bytes cut at ``shard_bytes``; rows stop where ``cap`` would be passed."""
     out = prefix_sums(df.withColumn("_b", size), [], order, {"before": F.col("_b")})
     return out.where(F.col("before") + F.col("_b") <= cap).withColumn("shard", F.floor(F.col("before") / shard_bytes).cast("int")).drop("_b", "before_total")

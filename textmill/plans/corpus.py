@@ -107,7 +107,7 @@ def mixture_interleave(spark, sf):
 
 
 def shard_assignment(spark, sf):
-    return sequence.shards(_buckets(spark, sf), ["doc_id"], F.col("bytes"), 200_000, 1_500_000).select("doc_id", "before", "shard")
+    return sequence.shards(_buckets(spark, sf), ["doc_id"], F.col("bytes")).select("doc_id", "before", "shard")
 
 
 def sequence_packing(spark, sf):
