@@ -38,6 +38,19 @@ def test_cleaning_and_words(spark):
     assert one(spark, X.detect_language(F.col("x")), x="عايز كده") == "ar-dialect"
 
 
+def test_cleaning_normalises(spark, tmp_path):
+    docs = [(1, "ar", "ﻻ ﷲ ＡＢ"), (2, "en", "<p>caf\u0065\u0301 &amp; &lt;b&gt;&nbsp;x</p>"), (3, "en", None), (4, "ar", None), (5, "en", "plain")]
+    spark.createDataFrame(docs, "doc_id int, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["cleaned"] for r in corpus.corpus_clean(spark, str(tmp_path)).collect()}
+    assert got == {1: "لا الله AB", 2: "café & <b> x", 3: "", 4: "", 5: "plain"}
+
+
+def test_fingerprints_see_through_widths(spark):
+    rows = [(1, [("user", " ＡＢ  ﻻ"), ("assistant", None)]), (2, [("user", "ab لا"), ("assistant", "")]), (3, [("user", "ab"), ("assistant", "")]), (4, [("user", "AB"), ("assistant", "")])]
+    got = {r["id"]: r["fp"] for r in spark.createDataFrame(rows, "id int, c array<struct<role: string, content: string>>").select("id", C.fingerprint(F.col("c")).alias("fp")).collect()}
+    assert got[1] == got[2] != got[3] == got[4]
+
+
 @pytest.mark.parametrize(("text", "keep"), [("a" * 29, False), ("the quick brown fox jumps over it", True), ("ab cd " * 40, False), ("1234 5678 9012 3456 7890 1234 ab", False), (None, False), ("", False)])
 def test_quality_filter(spark, text, keep):
     assert bool(one(spark, quality.quality_filter(F.col("x")), x=text)) is keep

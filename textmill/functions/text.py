@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ WS_CLASS = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}
 WS = f"[{WS_CLASS}]"
 WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NON_WS = f"[^{WS_CLASS}]"
+NON_ASCII = r"[^\x00-\x7F]"
 ARABIC = r"[\x{0600}-\x{06FF}]"
 CODE_HINT = r"[{}();<>]|(?:^|[^\p{L}\p{N}_])(?:def|class|import|return|function|const|let|var|if|else|for|while|SELECT|FROM)(?:$|[^\p{L}\p{N}_])"
 # Words that mark a dialect.
@@ -84,6 +88,37 @@ def hash32(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
 
 
+def normal_form(c: Column, form: str) -> Column:
+    """Unicode normalisation; Spark has none, so text beyond ASCII goes to Python and ASCII stays in the JVM."""
+
+    @F.pandas_udf("string")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    return F.coalesce(normal(F.when(c.rlike(NON_ASCII), c)), c)
+
+
+def normal_forms(a: Column, form: str) -> Column:
+    """``normal_form`` of each string of an array."""
+
+    @F.pandas_udf("array<string>")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: None if a is None else [None if t is None else unicodedata.normalize(form, t) for t in a])
+
+    odd = F.exists(a, lambda t: F.coalesce(t.rlike(NON_ASCII), F.lit(False)))
+    return F.coalesce(normal(F.when(odd, a)), a)
+
+
+def unescape(c: Column) -> Column:
+    """HTML entities to characters; only text with an ampersand goes to Python."""
+
+    @F.pandas_udf("string")
+    def plain(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else html.unescape(t))
+
+    return F.coalesce(plain(F.when(c.contains("&"), c)), c)
+
+
 def clean_arabic(c: Column) -> Column:
     """Fold alef forms, drop stretches and vowel marks, set punctuation off by spaces, collapse white space. Expects composed text."""
     t = F.translate(F.coalesce(c, F.lit("")), "أإآٱ", "اااا")
@@ -107,6 +142,11 @@ def strip_tags(c: Column) -> Column:
     return collapse(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " "))
 
 
+def clean_markup(c: Column) -> Column:
+    """Drop tags, then resolve entities, compose and collapse white space."""
+    return collapse(normal_form(unescape(strip_tags(c)), "NFC"))
+
+
 def detect_language(c: Column) -> Column:
     """ar-dialect, ar or en by script and marker words."""
     dialect = F.lit(False)

@@ -17,6 +17,11 @@ def _content(t: Column) -> Column:
     return X.collapse(F.coalesce(t["content"], F.lit("")))
 
 
+def normal_contents(conv: Column) -> Column:
+    """The text of each turn in NFKC with white space collapsed."""
+    return F.transform(X.normal_forms(F.transform(conv, lambda t: F.coalesce(t["content"], F.lit(""))), "NFKC"), X.collapse)
+
+
 def map_role(role: Column) -> Column:
     r = F.lower(X.strip(role))
     return F.when(r.isin("user", "human"), "human").when(r == "system", "system").when(r == "assistant", "assistant")
@@ -42,7 +47,8 @@ def quality_score(conv: Column, language: Column) -> Column:
 
 
 def fingerprint(conv: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(conv, lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("::"), F.lower(_content(t)))), "\n"), 256)
+    parts = F.zip_with(conv, normal_contents(conv), lambda t, c: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("::"), F.lower(c)))
+    return F.sha2(F.array_join(parts, "\n"), 256)
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:

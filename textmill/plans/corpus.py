@@ -23,7 +23,7 @@ def corpus_normalize(spark, sf):
 
 
 def corpus_clean(spark, sf):
-    text = F.when(F.col("lang") == "ar", X.clean_arabic(F.col("text"))).otherwise(X.strip_tags(F.col("text")))
+    text = F.when(F.col("lang") == "ar", X.clean_arabic(X.normal_form(F.col("text"), "NFKC"))).otherwise(X.clean_markup(F.col("text")))
     return _docs(spark, sf).select("doc_id", text.alias("cleaned"))
 
 
