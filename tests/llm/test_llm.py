@@ -317,6 +317,29 @@ def test_twice_garbled_and_escaped():
     assert garbled.repair("caf�")[1]
 
 
+@pytest.mark.parametrize("wrong", ["cp1250", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850", "koi8-r"])
+@pytest.mark.parametrize("true", ["cp1256", "iso8859-6"])
+def test_arabic_bytes_read_under_any_encoding(true, wrong):
+    table = garbled._byte_table(wrong)
+    bad = "".join(table[b] for b in AR.encode(true))
+    assert garbled.repair("Sound before. " + bad)[1]
+
+
+@pytest.mark.parametrize("c", "😀→✅🚀ﻻﷲ")
+@pytest.mark.parametrize("wrong", garbled.WRONG_FOR_UTF8)
+def test_symbols_alone_are_found(c, wrong):
+    if wrong == "cp850" and c in "→✅":
+        pytest.skip("letters that Arabic bytes also show; found only beside others")
+    table = garbled._byte_table(wrong)
+    fixed, spans = garbled.repair("done " + "".join(table[b] for b in c.encode()) + " now")
+    assert spans and (wrong not in ("latin-1", "cp1252") or fixed == f"done {c} now")
+
+
+@pytest.mark.parametrize("text", ["Где находится библиотека? Сегодня мы будем читать.", "ГДЕ ЭТО", "Πού είναι η βιβλιοθήκη; ΣΗΜΕΡΑ", "┌──┬── a ══ b", "→ ✅ done 😀", "ﷲ ﻻ"])
+def test_other_scripts_and_symbols_are_left_alone(text):
+    assert garbled.repair(text) == (text, [])
+
+
 @pytest.mark.parametrize("text", ["", EN, FR, AR, "It’s the café’s résumé — “for later”.", "SÃO, PÃO, CHÂTEAU, ÎLE", "signs Σ, Δ and √, £, ©, ® and °", "Ångström and Øresund", "« déjà » très chaud…", "الحفظ، والخط؟", "&eacute; &amp; x", "x " * 50_000])
 def test_sound_text_is_left_alone(text):
     assert garbled.repair(text) == (text, [])

@@ -33,9 +33,11 @@ from pyspark.sql import types as T
 # Encodings under which UTF-8 is read by mistake.
 WRONG_FOR_UTF8 = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "mac_roman", "cp437", "cp850", "koi8-r", "iso8859-6")
 # (true, wrong) single-byte pairs for Arabic.
-SINGLE = (("cp1256", "cp1252"), ("iso8859-6", "cp1252"))
+SINGLE = tuple((true, wrong) for true in ("cp1256", "iso8859-6") for wrong in ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850", "koi8-r"))
 # (true, wrong) single-byte pairs for Latin text.
-SINGLE_LATIN = (("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "koi8-r"), ("mac_roman", "cp1252"), ("cp437", "cp1252"))
+SINGLE_LATIN = (("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "koi8-r"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp1253"), ("cp1252", "cp1256"), ("cp1252", "iso8859-6"))
+# Greek letters that also stand for Latin ones on purpose (problem 5) and so prove no wrong encoding.
+GREEK_LOOK_ALIKES = "αγηικνορστυω"
 MIN_RUN = 3
 MAX_ROUNDS = 4
 LATIN_LIKE = ("latin-1", "cp1252", "cp1250", "cp1254")
@@ -61,6 +63,12 @@ def _alphabet() -> list[str]:
     return [chr(c) for a, b in ranges for c in range(a, b) if chr(c).isprintable() or 0x80 <= c <= 0xAD or c == 0xFEFF or 0x64B <= c <= 0x65F or 0x200C <= c <= 0x200F or c == 0x202F]
 
 
+def _symbols() -> list[str]:
+    """Further characters: presentation forms, arrows to miscellaneous symbols, and those of four bytes that are in use."""
+    ranges = ((0x2190, 0x2C00), (0xFB50, 0xFE00), (0xFE0F, 0xFE10), (0xFE70, 0xFEFD), (0x1F000, 0x1FB00))
+    return [chr(c) for a, b in ranges for c in range(a, b) if chr(c).isprintable() or c == 0xFE0F]
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -91,6 +99,16 @@ def _automaton():
                         form = "".join(lost if j == k else table[b] for j, b in enumerate(raw))
                         if not form[0].isascii() and len(form) >= 2:
                             known.setdefault(form, ("u", None, lost == "?"))
+    for enc in WRONG_FOR_UTF8:
+        table = _byte_table(enc)
+        for c in _symbols():
+            raw = c.encode("utf-8")
+            shown = "".join(table[b] for b in raw)
+            known.setdefault(shown, ("u", c, enc == "cp850" and shown[:2].isalpha()))  # also Arabic bytes read as Latin letters
+            for k in range(1, len(raw)):
+                if table[raw[k]] == chr(raw[k]) and 0x80 <= raw[k] < 0xA0:
+                    for lost in LOST:
+                        known.setdefault("".join(lost if j == k else table[b] for j, b in enumerate(raw)), ("u", None, lost == "?"))
     letters = [chr(c) for c in range(0x621, 0x64B) if c not in range(0x63B, 0x641)] + [chr(c) for c in range(0x64B, 0x653)] + list("،؛؟")
     for true, wrong in SINGLE:
         table = _byte_table(wrong)
@@ -113,7 +131,7 @@ def _automaton():
             except UnicodeEncodeError:
                 continue
             odd = x in "˚‰¸ˆ‹˜¯" or (x.isalpha() and not (x.islower() and unicodedata.name(x, "").startswith("LATIN SMALL LETTER")) and x not in "ªºœæß") or x == "ﬂ"
-            if odd:
+            if odd and x not in GREEK_LOOK_ALIKES:
                 for a in "abcdefghijklmnopqrstuvwxyz":
                     known.setdefault(a + x, ("l", c, False))
         x = table.get("°".encode(true)[0], "")
@@ -135,6 +153,14 @@ def _single_maps() -> list[dict[str, str]]:
     return maps
 
 
+def _case_breaks(piece: str) -> bool:
+    """Whether letters of a script with sound text of its own change to capitals within words, as they only do by accident."""
+    own = re.findall("[\u0370-\u052F]", piece)
+    if 2 * len(own) < len(re.findall("[^\\x00-\\x7F]", piece)):
+        return True
+    return 8 * sum(x.islower() and y.isupper() for x, y in zip(piece, piece[1:])) >= len(own)
+
+
 _AR = re.compile(r"[ء-ْ]")
 _COMMON = re.compile(r"ال|في|من|لى|ية|كل|لا|ول|لي")
 
@@ -181,7 +207,7 @@ def _spans(text: str) -> list[tuple[int, int, str]]:
             if run_s >= 0 and s > run_e and not (s - run_e <= 6 and not re.search(r"[A-Za-z]", text[run_e:s])):
                 piece = text[run_s:run_e]
                 longest = max((len(x) for x in re.findall(r"[^\x00-\xbf]+", piece)), default=0)
-                if longest >= MIN_RUN and not any(a < run_e and run_s < b for a, b in strong) and _best_single(piece):
+                if longest >= MIN_RUN and _case_breaks(piece) and not any(a < run_e and run_s < b for a, b in strong) and _best_single(piece):
                     out.append((*_widen(text, run_s, run_e), "s"))
                 run_s = -1
             if run_s < 0:
