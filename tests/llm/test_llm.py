@@ -152,6 +152,15 @@ def test_conversations(ready):
     assert rebuild.sessions(df).count() > 0
 
 
+def test_sessions_keep_messages_without_a_time(ready):
+    m = [(1, 1, "user", "a", 0), (2, 1, "assistant", "b", None), (3, 1, "user", "c", 30), (4, 1, "assistant", "d", 9000), (5, 2, "user", "e", None), (6, 2, "assistant", "f", None)]
+    m += [(100 + i, 3, "user" if i % 2 == 0 else "assistant", str(i), 30 * i) for i in range(60)]
+    df = ready.createDataFrame(m, "id bigint, conversation_id bigint, role string, content string, t bigint").withColumn("created_at", F.timestamp_seconds("t"))
+    got = {(r["conversation_id"], r["session_no"]): (r["turns"], r["users"], r["assistants"], r["replied"], r["started"] is None) for r in rebuild.sessions(df).collect()}
+    assert got == {(1, 0): (3, 2, 1, True, False), (1, 1): (1, 0, 1, False, False), (2, 0): (2, 1, 1, True, True), (3, 0): (60, 30, 30, True, False)}
+    assert {(r["conversation_id"], r["session_no"]) for r in rebuild.sessions(df, replied_only=True).collect()} == {(1, 0), (2, 0), (3, 0)}
+
+
 def test_a_hot_conversation_is_cut_into_ranges(ready):
     ready.conf.set("spark.sql.shuffle.partitions", "4")
     df = ready.range(4000).select("id", F.lit(1).cast("bigint").alias("conversation_id"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("content"), F.timestamp_seconds(F.col("id") * 60).alias("created_at"))

@@ -142,28 +142,33 @@ def defects(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     return all_.select(F.col("conv").alias("conversation_id"), F.explode(found).alias("defect"))
 
 
-def sessions(messages: DataFrame, share: float = 0.95, least_s: int = 60) -> DataFrame:
+def sessions(messages: DataFrame, share: float = 0.95, least_s: int = 60, replied_only: bool = False) -> DataFrame:
     """Split conversations at long silences: (conversation_id, session_no, turns, users, assistants, started, ended, replied).
 
     The gap is calibrated on the table: the ``share`` quantile of all silences between
-    neighbouring messages of a conversation, ``least_s`` at least.
+    neighbouring messages of a conversation, ``least_s`` at least. A message without a
+    time belongs to the session of the one it stands behind and has no gap of its own;
+    gaps are measured between its neighbours that have one. ``replied`` tells whether a
+    session has both a user and an assistant; ``replied_only`` drops those without.
     """
     from textmill.operators.prefix import prefix_sums
 
-    rows = ordered_turns(messages).where("ts is not null")
+    rows = ordered_turns(messages)
     w = Window.partitionBy("conv", PID).orderBy(*ORDER)
-    rows = rows.withColumn("gap", F.col("ts") - F.lag("ts").over(w))
+    rows = rows.withColumn("gap", F.col("ts") - F.last("ts", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     ends = rows.groupBy("conv", PID).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    ends = ends.withColumn("gap0", F.col("lo") - F.lag("hi").over(Window.partitionBy("conv").orderBy(PID))).select("conv", PID, "gap0")
-    rows = rows.join(ends, ["conv", PID]).withColumn("gap", F.coalesce("gap", "gap0")).drop("gap0")
+    earlier = Window.partitionBy("conv").orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("gap0", F.col("lo") - F.last("hi", ignorenulls=True).over(earlier)).select("conv", PID, "gap0")
+    rows = rows.join(ends, ["conv", PID]).withColumn("gap", F.when(F.col("ts").isNotNull(), F.coalesce("gap", "gap0"))).drop("gap0")
     limit = rows.agg(F.greatest(F.percentile_approx("gap", share, 10_000), F.lit(least_s * 1_000_000)).alias("limit"))
     rows = rows.crossJoin(F.broadcast(limit)).withColumn("cut", (F.col("gap") > F.col("limit")).cast("int"))  # one row
     rows = prefix_sums(rows, ["conv"], ORDER, {"cuts": F.coalesce("cut", F.lit(0))}, chunked=True)
     rows = rows.withColumn("session_no", F.col("cuts") + F.coalesce("cut", F.lit(0)))
-    return rows.groupBy(F.col("conv").alias("conversation_id"), "session_no").agg(
+    out = rows.groupBy(F.col("conv").alias("conversation_id"), "session_no").agg(
         F.count("*").alias("turns"),
         F.count_if(F.col("role") == USER).alias("users"),
         F.count_if(F.col("role") == ASSISTANT).alias("assistants"),
         F.timestamp_micros(F.min("ts")).alias("started"),
         F.timestamp_micros(F.max("ts")).alias("ended"),
     ).withColumn("replied", (F.col("users") > 0) & (F.col("assistants") > 0))
+    return out.where("replied") if replied_only else out
