@@ -98,6 +98,24 @@ def test_packing_keeps_every_token(spark):
     assert all(v == 10 for k, v in fill.items() if k < max(fill))
 
 
+def test_history_crosses_days_and_blocks(spark, tmp_path):
+    from statistics import median
+
+    r = random.Random(5)
+    rows = [(i, i % 3, f"2025-01-{1 + i // 4:02d} 10:00:00", "ab"[i % 2], r.choice([1.0, 1.5, 2.0, 9.0])) for i in range(120)]
+    spark.createDataFrame(rows, "event_id bigint, user_id int, t string, event_type string, value double").withColumn("ts", F.expr("try_cast(t as timestamp)")).drop("t").write.parquet(f"{tmp_path}/events.parquet")
+    want, seen = {}, {"a": [], "b": []}
+    for i, _, t, kind, v in rows:
+        if int(t[8:10]) <= 31:
+            past = seen[kind][-50:]
+            want[i] = len(past) >= 3 and v > 3 * median(past)
+            seen[kind].append(v)
+    got = {x["event_id"]: x["spike"] for x in numbers.loss_spikes(spark, str(tmp_path)).collect()}
+    assert got == want and any(want.values())
+    cut = sequence.with_history(spark.createDataFrame([(i, "k") for i in range(20)], "i int, k string"), "k", "i", 3, block=8)
+    assert sorted((x["_block"], x["i"]) for x in cut.where("_old").collect()) == [(1, 5), (1, 6), (1, 7), (2, 13), (2, 14), (2, 15)]
+
+
 def test_accepted_requests_equal_a_loop(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice("xxxy"), 1_700_000_000 + rnd.randrange(20_000)) for i in range(400)]

@@ -79,6 +79,16 @@ def batches(df: DataFrame, order: list[str], size: int, drop_last: bool = False)
     return out.drop("row", "row_total")
 
 
+def with_history(df: DataFrame, key: str, order: str, n: int, block: int = 4_096) -> DataFrame:
+    """Cut each key into blocks (``_block``) of rows in ``order``; each also gets the ``n`` rows before it, marked ``_old``."""
+    if n > block:
+        raise ValueError("a block must hold the history")
+    rows = prefix_sums(df, [key], [order], {"_at": F.lit(1)}).drop("_at_total")
+    rows = rows.withColumns({"_block": F.floor(F.col("_at") / block), "_old": F.lit(False)})
+    tail = rows.where(F.col("_at") % block >= block - n).withColumns({"_block": F.col("_block") + 1, "_old": F.lit(True)})
+    return rows.unionByName(tail).drop("_at")
+
+
 def accepted_requests(df: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
     """Add ``accepted`` by a sliding window in which only accepted requests count.
 

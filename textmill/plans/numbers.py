@@ -95,10 +95,11 @@ def rate_limit_accepted(spark, sf):
 
 
 def loss_spikes(spark, sf):
-    w = Window.partitionBy("event_type", "day").orderBy("event_id")
-    e = _events(spark, sf).select("event_id", "event_type", "value", F.to_date("ts").alias("day"))
+    """Values above three times the median of the 50 before them of their type, whatever the day."""
+    w = Window.partitionBy("event_type", "_block").orderBy("event_id")
+    e = sequence.with_history(_events(spark, sf).select("event_id", "event_type", "value"), "event_type", "event_id", 50)
     e = e.withColumns({"median": F.percentile("value", F.lit(0.5)).over(w.rowsBetween(-50, -1)), "seen": F.count("value").over(w.rowsBetween(-50, -1))})
-    return e.select("event_id", F.coalesce((F.col("seen") >= 3) & (F.col("median") > 0) & (F.col("value") > 3 * F.col("median")), F.lit(False)).alias("spike"))
+    return e.where(~F.col("_old")).select("event_id", F.coalesce((F.col("seen") >= 3) & (F.col("median") > 0) & (F.col("value") > 3 * F.col("median")), F.lit(False)).alias("spike"))
 
 
 def early_stopping(spark, sf):
