@@ -183,21 +183,37 @@ def test_look_alikes():
         assert c(c(t)) == c(t)
 
 
-def test_sound_characters_never_change():
-    import re
+def test_more_shapes_look_the_same():
+    c = lookalike.canonical
+    assert c("ᎪᏴᏟ") == c("ꓮꓐꓚ") == "ABC" and c("Ммв") == c("Mᴍʙ") and c("a\u2011b") == c("a\u2010b")
+    assert c("كُّ") == c("كُّ") and c("ё") == c("е\u0308") == c("ë")
+
+
+def test_readable_keeps_sound_words():
+    r = lookalike.readable
+    for t in ("Москва", "Это сор и рис", "το νερό", "کتاب پدر", "", EN, FR, AR):
+        assert r(t) == t
+    assert r("раураl") == "paypal" and r("pаss сор") == "pass cop" and r("Моcква") == "Москва" and r("توفیر الكتاب") == "توفير الكتاب" and r("ｆｕｌｌ\u200b ﬁne") == "full fine"
+
 
-    points = [n for a, b in re.findall(r"\\x\{?([0-9A-Fa-f]+)\}?(?:-\\x\{?([0-9A-Fa-f]+)\}?)?", lookalike.SOUND) for n in range(int(a, 16), int(b or a, 16) + 1)]
-    assert len(points) > 600 and not [n for n in points if chr(n) in lookalike._machine()[4]]
+def test_transducer_has_no_conflict():
+    t = lookalike.transducer()
+    assert len(t.one) > 2000 and len(t.clusters) > 1000
+    assert all(t.cluster(x) == x for x in [*t.one.values(), *t.clusters.values()])
 
 
 def test_look_alike_pairs_equal_brute_force(ready):
     rows = [("1", "pass"), ("2", "раss"), ("3", "pass"), ("4", "ｐass"), ("5", None), ("6", ""), ("7", "​"), ("1", "pass"), (None, "pass"), ("8", "other"), ("9", "x" * 100_000), ("10", "х" + "x" * 99_999)]
-    df = ready.createDataFrame(rows, "id string, text string").withColumn("form", F.lit("clash"))
-    got = {(r["id_a"], r["id_b"]) for r in lookalike.look_alike_pairs(df, "t", "id", F.col("text")).collect()}
+    df = ready.createDataFrame(rows, "id string, text string").withColumns({"form": F.lit("clash"), "raw": F.lit(1), "tbl": F.lit(2)})
+    prints = lookalike.fingerprints(df, "t", "id", F.col("text"))
+    got = {(r["id_a"], r["id_b"]) for r in lookalike.look_alike_pairs(prints).collect()}
     good = {(i, t) for i, t in rows if i and t and lookalike.canonical(t).strip()}
     want = {(a, b) for (a, s), (b, t) in itertools.product(good, good) if a < b and s != t and lookalike.canonical(s) == lookalike.canonical(t)}
     assert got == want and len(got) == 6
-    assert lookalike.look_alike_pairs(df.limit(0), "t", "id", F.col("text")).count() == 0
+    classes = {(r["id"], r["class_id"], r["variants"], r["links"]) for r in lookalike.look_alike_classes(prints).collect()}
+    assert classes == {("1", "1", 3, 2), ("3", "1", 3, 2), ("2", "1", 3, 3), ("4", "1", 3, 3), ("9", "10", 2, 1), ("10", "10", 2, 1)}
+    empty = lookalike.fingerprints(df.limit(0), "t", "id", F.col("text"))
+    assert lookalike.look_alike_pairs(empty).count() == 0 and lookalike.look_alike_classes(empty).count() == 0
 
 
 # 6

@@ -68,10 +68,18 @@ def p4_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild.sessions(_t(spark, sf, "chat_messages"))
 
 
+def _prints(spark: SparkSession, sf: str) -> DataFrame:
+    pages = lookalike.fingerprints(_t(spark, sf, "corpus_pages"), "corpus_pages", "id", F.col("text"))
+    return pages.unionByName(lookalike.fingerprints(_t(spark, sf, "instruction_examples"), "instruction_examples", "id", lookalike.conversation_text()))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    pages = lookalike.look_alike_pairs(_t(spark, sf, "corpus_pages"), "corpus_pages", "id", F.col("text"))
-    turns = lookalike.look_alike_pairs(_t(spark, sf, "instruction_examples"), "instruction_examples", "id", lookalike.conversation_text())
-    return pages.unionByName(turns)
+    return lookalike.look_alike_pairs(_prints(spark, sf))
+
+
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that look like another one, with their class and the number of their look-alikes."""
+    return lookalike.look_alike_classes(_prints(spark, sf))
 
 
 def p5_unified_pages(spark: SparkSession, sf: str) -> DataFrame:
