@@ -114,7 +114,7 @@ PAGE = ["Home · Maps · Help · Shop", "The quiet lantern explained", "By the R
 def test_boilerplate(ready):
     rows = [("a", "\n".join(PAGE), "The quiet lantern explained"), ("a", "\n".join(PAGE), "The quiet lantern explained"), ("b", None, None), ("c", " \n ", None), ("d", "", None), ("e", "\n".join(PAGE[:1] + PAGE[7:]), None), ("f", "\n".join([PAGE[1]] + [PAGE[3]] * 5000), None), (None, "x", "y")]
     pages = ready.createDataFrame(rows, "id string, text string, title string").withColumn("line_no", F.lit(1))
-    real = boilerplate.pages_of(ready.read.parquet(f"{SF}/corpus_pages.parquet"))
+    real = boilerplate.pages_of(ready.read.parquet(f"/root/testdata/sf0.01/corpus_pages.parquet"))
     m = boilerplate.fit(real)
     got = {}
     for r in boilerplate.boilerplate_lines(pages, m).distinct().collect():
@@ -126,6 +126,26 @@ def test_boilerplate(ready):
     assert boilerplate.boilerplate_lines(pages.limit(0), boilerplate.fit(pages.limit(0))).count() == 0
 
 
+def test_a_long_line_of_the_site_is_boilerplate(ready):
+    long = "We use cookies and similar small files to remember your choices on this page. " * 6
+    rnd = random.Random(3)
+    say = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(3, 8))) for _ in range(n))
+    rows = []
+    for h, i in itertools.product("abcd", range(12)):
+        title = say(4)
+        rows.append((f"{h}{i}", "\n".join([f"Home · Maps {h}", title, *[say(15) + "." for _ in range(3)], long]), title, h))
+    pages = ready.createDataFrame(rows, "id string, text string, title string, host string")
+    got = {}
+    for r in boilerplate.boilerplate_lines(pages, boilerplate.fit(pages)).collect():
+        got.setdefault(r["id"], set()).add(r["line_no"])
+    assert set(map(frozenset, got.values())) == {frozenset({0, 5})} and len(got) == 48
+
+
+def test_trees_decide_on_hosts_held_out(ready):
+    told = boilerplate.report(boilerplate.pages_of(ready.read.parquet("/root/testdata/sf0.01/corpus_pages.parquet")))
+    assert told["lines"] > 1000 and 0 < told["differ"] < 0.03
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 3)).astype(np.float32)
