@@ -72,6 +72,37 @@ def test_label_turns_edges(ready, model):
     assert lang.label_turns(df, lang.fit(ready.createDataFrame([], "sample_id bigint, lang string, text string"))).count() >= 0
 
 
+def test_segments_cover_mixed_turns(ready, model):
+    text = EN + " " + AR + " " + FR + " `x`\n```\ncode = 1\n```\n" + EN
+    rows = [("a", "en", [("user", text), ("assistant", EN)]), ("a", "en", [("user", text), ("assistant", EN)]), ("b", None, None), ("c", "en", [("user", None), ("assistant", "none")]), ("d", "en", [("user", (EN + " " + AR + "\n") * 2000)])]
+    df = ready.createDataFrame(rows, "id string, language string, conversation array<struct<role:string,content:string>>").withColumn("start", F.lit("clash"))
+    got = lang.label_segments(df, model).distinct().orderBy("id", "turn_no", "segment_no").collect()
+    own = [r for r in got if r["id"] == "a" and r["turn_no"] == 0]
+    assert [r["lang"] for r in own] == ["en", "ar", "fr", "en"] and [r["segment_no"] for r in own] == [0, 1, 2, 3]
+    for r, t in zip(own, (EN, AR, FR, EN)):
+        assert text[r["start"] : r["end"]].strip().startswith(t) and 0.5 < r["confidence"] <= 1
+    assert len([r for r in got if r["id"] == "d"]) == 4000 and not {"b", "c"} & {r["id"] for r in got}
+    assert lang.label_segments(df.limit(0), model).count() == 0
+
+
+def test_landmarks_are_a_subset_and_confidence_is_calibrated(samples):
+    rows = sorted((r["lang"], r["text"]) for r in samples.collect())
+    m = lang.train(rows)
+    assert 0 <= m.error < 0.05
+    sharp = lang.calibrate(rows)
+    assert 1 <= sharp <= 40
+    m2 = lang.train(rows[::2])
+    segs = [(s, x) for x, t in rows[1::2] for s in lang.segments(t)]
+    score = lang.masked_scores(m2, [s for s, _ in segs])
+    right = np.array([lang.LANGS[b] == x for b, (_, x) in zip(score.argmax(1), segs)])
+    assert abs(lang._softmax_top(score, sharp).mean() - right.mean()) < 0.03
+
+
+def test_a_short_sentence_of_another_script_counts():
+    segs = [("a longer sentence in one language is written here", False), ("هذا هو الجواب الصحيح", True)]
+    assert set(lang.turn_languages(segs, np.array([3, 0]), np.array([0.9, 0.9]), None)) == {3, 0}
+
+
 # 2
 
 

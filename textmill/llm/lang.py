@@ -2,12 +2,17 @@
 
 A blended-spectrum string kernel compares a stretch with landmarks: the number of
 character n-grams that both contain, over the square root of the product of their
-numbers. Landmarks are labelled sentences; a Nyström map of the kernel feeds one-versus-
-rest ridge regression. Since the kernel is a product of presence vectors, landmarks,
-map and weights fold into one matrix of n-grams by languages, and a batch of stretches
-is scored as its presence matrix times that matrix.
+numbers. Landmarks are ``LANDMARKS`` labelled sentences of each language, chosen by a hash;
+a Nyström map of the kernel feeds one-versus-rest ridge regression on all labelled
+sentences (``Model.error`` is the map's relative error on them). Since the kernel is a
+product of presence vectors, landmarks, map and weights fold into one matrix of n-grams by
+languages, and a batch of stretches is scored as its presence matrix times that matrix.
 
-The labelled sample is bounded by ``MAX_SAMPLES``; the model is therefore of fixed size.
+Confidences are calibrated: the sharpness of the softmax over scores is the one under which
+labelled sentences held out from a first fit are most likely.
+
+The labelled sample is bounded by ``MAX_SAMPLES`` texts, as many of each language, and
+``MAX_EXAMPLES`` examples; the model is therefore of fixed size.
 
 Defined results: null or empty conversations, null contents, code, stand-ins for a
 missing answer and text without letters have no language; a turn of any length is
@@ -17,6 +22,7 @@ results; columns other than id, language and conversation aren't read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,11 +34,13 @@ from pyspark.sql import functions as F
 from textmill.llm.lookalike import canonical
 from textmill.operators.sample import bounded_sample
 
-MAX_SAMPLES = 1_000
-MAX_LANDMARKS = 1_500
+MAX_SAMPLES = 1_002
+LANDMARKS = 300  # of each language
 MAX_EXAMPLES = 600
-MAX_EXTRA = 500
+MAX_EXTRA = 250  # further sentences of each language
+MAX_TEXT = 100_000  # characters of a text or example that a model may be fitted on
 FIRM = 0.9
+SHARP = 4.0
 BITS = 18
 NGRAMS = (1, 2, 3, 4)
 WIDTH = 8  # columns of the weights, padded for aligned reads
@@ -58,41 +66,59 @@ def is_stand_in(text: str) -> bool:
     return text.strip(" \t\n.()[]{}<>-–—_*#\"'!?:;").lower() in STAND_INS
 
 
-def segments(text: str) -> list[tuple[str, bool]]:
-    """Stretches of one script, each with whether it is Arabic script."""
-    if "```" in text:
-        text = _CODE.sub("\n", text)
-    if not text.isascii():
-        text = canonical(text)
-    text = _ASIDE.sub(" ", text)
-    if '"' in text or "“" in text or "«" in text or "„" in text:
-        text = _QUOTED.sub(lambda m: m[0] if len(m[0].split()) > 5 else " ", text)
-    out = []
-    for part in _END.split(text):
-        part = _MARKER.sub("", part)
-        ar = not part.isascii() and _AR.search(part) is not None
+def _hide(m: re.Match) -> str:
+    return " " * len(m[0])
+
+
+def spans(text: str) -> list[tuple[int, int, str, bool]]:
+    """Stretches of one script as (start, end, text, is Arabic); what is no one's language is left out, places are those of ``text``."""
+    shown = text
+    if "```" in shown:
+        shown = _CODE.sub(lambda m: "\n" * len(m[0]), shown)
+    shown = _ASIDE.sub(_hide, shown)
+    if '"' in shown or "“" in shown or "«" in shown or "„" in shown:
+        shown = _QUOTED.sub(lambda m: m[0] if len(m[0].split()) > 5 else _hide(m), shown)
+    out, a = [], 0
+    for b, then in [*((m.start(), m.end()) for m in _END.finditer(shown)), (len(shown), len(shown))]:
+        begin, a, end = a, then, b
+        part = shown[begin:end]
+        if m := _MARKER.match(part):
+            begin += m.end()
+            part = part[m.end() :]
+        plain = part.isascii()
+        if not plain:
+            part = canonical(part)
+        ar = not plain and _AR.search(part) is not None
         la = _LA.search(part) is not None
-        if not ar and not la:
-            continue
         if not ar or not la:
-            out.append((part, ar))
+            if ar or la:
+                out.append((begin, end, part, ar))
             continue
         # both scripts: runs of words of one script
         run: list[str] = []
-        script = None
-        for w in part.split():
-            s = True if _AR.search(w) else False if _LA.search(w) else None
-            if s is not None and script is not None and s != script:
-                out.append((" ".join(run), script))
+        script, start, last = None, 0, 0
+        for m in re.finditer(r"\S+", shown[begin:end]):
+            w = canonical(m[0])
+            x = True if _AR.search(w) else False if _LA.search(w) else None
+            if x is not None and script is not None and x != script:
+                out.append((begin + start, begin + last, " ".join(run), script))
                 run = []
-            if s is not None:
-                script = s
+            if not run:
+                start = m.start()
+            if x is not None:
+                script = x
             run.append(w)
+            last = m.end()
         if run and script is not None:
-            out.append((" ".join(run), script))
+            out.append((begin + start, begin + last, " ".join(run), script))
     return out
 
 
+def segments(text: str) -> list[tuple[str, bool]]:
+    """Stretches of one script, each with whether it is Arabic script."""
+    return [x[2:] for x in spans(text)]
+
+
 def words(text: str) -> int:
     return len(text.split())
 
@@ -100,8 +126,8 @@ def words(text: str) -> int:
 class Model:
     """Weights of n-grams by languages, folded from landmarks, Nyström map and ridge weights."""
 
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table
+    def __init__(self, table: np.ndarray, sharpness: float = SHARP, error: float = 0.0) -> None:
+        self.table, self.sharpness, self.error = table, sharpness, error
         self.used = table.any(axis=1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -152,29 +178,33 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, (key & np.uint32((1 << BITS) - 1)).astype(np.intp), np.bincount(r, minlength=len(texts))
 
 
+def _hash(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
 def train(samples: list[tuple[str, str]], extra: list[tuple[str, str]] = ()) -> Model:
     """Fit the model on labelled texts (lang, text) and further labelled sentences."""
-    texts, y = [t for _, t in extra], [LANGS.index(lang) for lang, _ in extra]
+    rows = [(LANGS.index(lang), t) for lang, t in extra]
     for lang, text in samples:
         if lang in LANGS and text:
             parts = [s for s, _ in segments(text) if words(s) >= 3] or [text]
-            texts += [*parts, *([text] if len(parts) > 1 else [])]
-            y += [LANGS.index(lang)] * (len(texts) - len(y))
-    if len(texts) > MAX_LANDMARKS:
-        pick = np.linspace(0, len(texts) - 1, MAX_LANDMARKS).astype(int)
-        texts, y = [texts[i] for i in pick], [y[i] for i in pick]
-    if not texts:
+            rows += [(LANGS.index(lang), t) for t in [*parts, *([text] if len(parts) > 1 else [])]]
+    if not rows:
         return Model(np.zeros((1 << BITS, WIDTH), dtype=np.float32))
+    rows.sort(key=lambda r: (_hash(r[1]), r))
+    y, texts = np.array([r[0] for r in rows]), [r[1] for r in rows]
     row, gram, n = presence(texts)
     used, col = np.unique(gram, return_inverse=True)
     z = np.zeros((len(texts), len(used)), dtype=np.float32)
     z[row, col] = 1
     z /= np.sqrt(np.maximum(n, 1))[:, None]
-    k = (z @ z.T).astype(np.float64)
-    value, vector = np.linalg.eigh(k)
+    marks = np.concatenate([np.flatnonzero(y == i)[:LANDMARKS] for i in range(len(LANGS))])
+    k = (z @ z[marks].T).astype(np.float64)
+    value, vector = np.linalg.eigh(k[marks])
     good = value > 1e-6 * value[-1]
     nystrom = vector[:, good] / np.sqrt(value[good])
     phi = k @ nystrom
+    error = float(1 - (phi**2).sum() / len(texts))  # the kernel of a text with itself is 1
     target = -np.ones((len(texts), len(LANGS)))
     target[np.arange(len(texts)), y] = 1
     # rare languages weigh as much as frequent ones
@@ -182,47 +212,87 @@ def train(samples: list[tuple[str, str]], extra: list[tuple[str, str]] = ()) ->
     weight *= len(weight) / weight.sum()
     w = np.linalg.solve((phi * weight[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1]), (phi * weight[:, None]).T @ target)
     table = np.zeros((1 << BITS, WIDTH), dtype=np.float32)
-    table[used, : len(LANGS)] = z.T @ (nystrom @ w)
-    return Model(table)
+    table[used, : len(LANGS)] = z[marks].T @ (nystrom @ w)
+    return Model(table, error=error)
+
+
+def calibrate(samples: list[tuple[str, str]]) -> float:
+    """The sharpness under which sentences of a third of the texts are most likely, by a model of the other two thirds."""
+    third = lambda r: _hash(r[1])[-1] % 3 == 0
+    model = train([r for r in samples if not third(r)])
+    held = [(LANGS.index(lang), s) for lang, t in samples if third((lang, t)) and lang in LANGS for s in segments(t)]
+    if not held or not model.table.any():
+        return SHARP
+    score = masked_scores(model, [s for _, s in held])
+    right = np.array([i for i, _ in held])
+    keep = score[np.arange(len(held)), right] > -9  # a label of another script than the text says nothing
+    score, right = score[keep], right[keep]
+    if not len(right):
+        return SHARP
+    # Platt's targets: the right language isn't quite certain, however many sentences bear it out
+    doubt = 1 / (len(right) + 2)
+    target = np.where(score > -9, doubt / np.maximum((score > -9).sum(axis=1, keepdims=True) - 1, 1), 0.0)
+    target[np.arange(len(right)), right] = 1 - doubt
+    tries = np.arange(1.0, 40.5, 0.5)
+    loss = [(target * (np.log(np.exp(t * score).sum(axis=1, keepdims=True)) - t * np.where(score > -9, score, 0.0))).sum() for t in tries]
+    return float(tries[int(np.argmin(loss))])
 
 
 def fit(samples: DataFrame, examples: DataFrame | None = None) -> Model:
     """Fit on at most ``MAX_SAMPLES`` rows of (sample_id, lang, text), and adapt the model to ``examples``.
 
-    Samples hold few questions. From at most ``MAX_EXAMPLES`` labelled examples, chosen by
-    a hash of the id, come the sentences that the first model is unsure about, and only
-    from examples whose other sentences bear out the label.
+    Rows are chosen by a hash, as many of each language. Samples hold few questions. From at
+    most ``MAX_EXAMPLES`` labelled examples, chosen by a hash of the id, come the sentences
+    that the first model is unsure about, and only from examples whose other sentences bear
+    out the label. Texts beyond ``MAX_TEXT`` characters aren't fitted on, so that the sample
+    is bounded in bytes.
     """
-    rows = samples.where("lang is not null and text is not null").orderBy("sample_id").limit(MAX_SAMPLES).collect()
-    known = [(r["lang"], r["text"]) for r in rows]
+    known = []
+    usable = samples.where(F.col("lang").isin(*LANGS) & (F.length("text") <= MAX_TEXT)).select("lang", "text", F.coalesce(F.col("sample_id").cast("string"), F.md5("text")).alias("k"))
+    for lang in LANGS:
+        known += [(r["lang"], r["text"]) for r in bounded_sample(usable.where(F.col("lang") == lang), "k", MAX_SAMPLES // len(LANGS)).collect()]
     model = train(known)
-    if examples is None or not known:
-        return model
-    labelled = examples.where(F.lower(F.trim("language")).isin("ar", "ar-dialect") & F.col("id").isNotNull())
-    picked = bounded_sample(labelled.select("id", F.lower(F.trim("language")).alias("lang"), F.col("conversation.content").alias("texts"), F.col("conversation.role").alias("roles")), "id", MAX_EXAMPLES).collect()
-    extra: list[tuple[str, str]] = []
-    for r in picked:
-        want = LANGS.index(r["lang"])
-        segs = [s for role, t in zip(r["roles"] or (), r["texts"] or ()) if t and (role or "").strip().lower() != "system" for s in segments(t) if s[1] and words(s[0]) >= 4]
-        if not segs:
-            continue
-        best, sure = classify(model, segs)
-        firm = best[sure >= FIRM]
-        if len(firm) and (firm == want).all():
-            extra += [(r["lang"], t) for (t, _), p in zip(segs, sure) if p < FIRM]
-    return train(known, sorted(set(extra))[:MAX_EXTRA]) if extra else model
-
-
-def classify(model: Model, segs: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """Best language of each stretch among those of its script, and a confidence in 0 to 1."""
+    sharpness = calibrate(known)
+    if examples is not None and known:
+        labelled = examples.where(F.lower(F.trim("language")).isin("ar", "ar-dialect") & F.col("id").isNotNull())
+        labelled = labelled.select("id", F.lower(F.trim("language")).alias("lang"), F.col("conversation.content").alias("texts"), F.col("conversation.role").alias("roles"))
+        labelled = labelled.where(F.length(F.array_join("texts", "")) <= MAX_TEXT)
+        extra: dict[str, set[str]] = {}
+        for r in bounded_sample(labelled, "id", MAX_EXAMPLES).collect():
+            want = LANGS.index(r["lang"])
+            segs = [s for role, t in zip(r["roles"] or (), r["texts"] or ()) if t and (role or "").strip().lower() != "system" for s in segments(t) if s[1] and words(s[0]) >= 4]
+            if not segs:
+                continue
+            best, sure = classify(model, segs)
+            firm = best[sure >= FIRM]
+            if len(firm) and (firm == want).all():
+                extra.setdefault(r["lang"], set()).update(t for (t, _), p in zip(segs, sure) if p < FIRM)
+        more = [(lang, t) for lang, own in sorted(extra.items()) for t in sorted(own, key=lambda t: (_hash(t), t))[:MAX_EXTRA]]
+        if more:
+            model = train(known, more)
+    model.sharpness = sharpness
+    return model
+
+
+def masked_scores(model: Model, segs: list[tuple[str, bool]]) -> np.ndarray:
+    """Scores of stretches; languages of another script have -9."""
     s = model.scores([t for t, _ in segs])
     arabic = np.array([a for _, a in segs], dtype=bool)
     if len(s):
         s[np.ix_(arabic, [i for i in range(len(LANGS)) if i not in ARABIC])] = -9
         s[np.ix_(~arabic, [i for i in range(len(LANGS)) if i not in LATIN])] = -9
-    e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
-    p = e / e.sum(axis=1, keepdims=True)
-    return s.argmax(axis=1), p.max(axis=1)
+    return s
+
+
+def _softmax_top(s: np.ndarray, sharpness: float) -> np.ndarray:
+    e = np.exp(sharpness * (s - s.max(axis=1, keepdims=True)))
+    return 1 / e.sum(axis=1)
+
+
+def classify(model: Model, segs: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Best language of each stretch among those of its script, and how sure that is, in 0 to 1; for decisions within a turn."""
+    s = masked_scores(model, segs)
+    return s.argmax(axis=1), _softmax_top(s, SHARP)
 
 
 # A stretch of fewer words counts as a whole sentence only if it is all that a turn has.
@@ -230,65 +300,111 @@ LEAST_WORDS = 3
 SURE = 0.5
 
 
-def turn_languages(segs: list[tuple[str, bool]], best: np.ndarray, sure: np.ndarray, before: int | None) -> dict[int, float]:
-    """Languages of one turn with their confidences; ``before`` is the language of the turn it follows."""
-    out: dict[int, float] = {}
-    weak: list[tuple[int, float, int, bool]] = []
+def turn_languages(segs: list[tuple[str, bool]], best: np.ndarray, sure: np.ndarray, before: int | None) -> dict[int, int]:
+    """Languages of one turn, each with its surest stretch; ``before`` is the language of the turn it follows."""
+    out: dict[int, int] = {}
+    weak: list[tuple[int, float, int]] = []
     longest = max((words(t) for t, _ in segs), default=0)
-    for (text, arabic), b, p in zip(segs, best, sure):
+    longest_arabic = max((words(t) for t, a in segs if a), default=0)
+    for i, ((text, arabic), b, p) in enumerate(zip(segs, best, sure)):
         n = words(text)
-        if arabic and n <= 5 < longest and out:
+        if arabic and n <= 5 < longest and out and (n < longest_arabic or n < LEAST_WORDS):
             continue  # a short phrase doesn't tell the written standard from a dialect beside a longer sentence
         if n >= LEAST_WORDS and (p >= SURE or n >= 6):
-            out[int(b)] = max(out.get(int(b), 0.0), float(p))
+            if int(b) not in out or p > sure[out[int(b)]]:
+                out[int(b)] = i
         else:
-            weak.append((int(b), float(p), n, arabic))
+            weak.append((n, float(p), i))
     if not out and weak:
-        b, p, n, arabic = max(weak, key=lambda w: (w[2], w[1]))
+        n, p, i = max(weak)
+        b, arabic = int(best[i]), segs[i][1]
         if before is not None and (before in ARABIC if arabic else before in LATIN and before != 1) and (n < LEAST_WORDS or p < SURE):
             b = before
-        out[b] = p
+        out[b] = i
     return out
 
 
-def label_turns(df: DataFrame, model: Model) -> DataFrame:
-    """(id, turn_no, lang, confidence, wrong) for each user, human or assistant turn and language.
+TURN = [("id", pa.string()), ("turn_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("wrong", pa.bool_())]
+SEGMENT = [("id", pa.string()), ("turn_no", pa.int32()), ("segment_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]
 
-    ``wrong`` holds for all rows of an example whose trimmed, lower-cased label isn't the
-    one language of these turns.
+
+def _merged(parts: list, best: np.ndarray, sure: np.ndarray, langs: dict[int, int]) -> list[tuple[int, int, int, float]]:
+    """(start, end, language, confidence) of neighbouring stretches of one language of the turn.
+
+    A stretch that doesn't count as a language of its own, such as a single foreign word,
+    goes to the language before it, else to the one behind it. The confidence is the mean
+    of the stretches that count, by their length.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model.table)  # of fixed size
+    own = [int(b) if int(b) in langs and (i in langs.values() or words(x[2]) >= LEAST_WORDS) else None for i, (x, b) in enumerate(zip(parts, best))]
+    if langs and not any(x is not None for x in own):
+        lang, i = next(iter(langs.items()))
+        own[i] = lang
+    firsts = [x for x in own if x is not None]
+    out: list[list] = []
+    at = firsts[0] if firsts else None
+    for (start, end, text, _), lang, p in zip(parts, own, sure):
+        if at is None:
+            break
+        at = at if lang is None else lang
+        weight = len(text) if lang is not None else 0
+        if out and out[-1][2] == at:
+            out[-1][1] = end
+            out[-1][3] += p * weight
+            out[-1][4] += weight
+        else:
+            out.append([start, end, at, p * weight, weight])
+    return [(a, b, lang, float(s / w) if w else 0.0) for a, b, lang, s, w in out]
+
+
+def _label(df: DataFrame, model: Model, parts: bool) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast((model.table, model.sharpness))  # of fixed size
+    shape = SEGMENT if parts else TURN
+    kinds = {pa.string(): "string", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(shared.value)
+        m = Model(*shared.value)
         for batch in batches:
             ids, labels = batch.column("id").to_pylist(), batch.column("language").to_pylist()
-            turns: list[tuple[int, int, str]] = []
+            turns: list[tuple[int, int, list]] = []
             for i, conv in enumerate(batch.column("conversation").to_pylist()):
                 for k, t in enumerate(conv or ()):
                     if t and (t["role"] or "").strip().lower() in ("user", "human", "assistant") and t["content"] and not is_stand_in(t["content"]):
-                        turns.append((i, k, t["content"]))
-            segs, spans = [], []
-            for _, _, text in turns:
-                own = segments(text)
-                spans.append((len(segs), len(segs) + len(own)))
-                segs += own
-            best, sure = classify(m, segs)
-            found: dict[int, list[tuple[int, int, float]]] = {}
+                        turns.append((i, k, spans(t["content"])))
+            segs = [x[2:] for _, _, own in turns for x in own]
+            scores = masked_scores(m, segs)
+            best, sure, firm = scores.argmax(axis=1), _softmax_top(scores, SHARP), _softmax_top(scores, m.sharpness)
+            out, found, b = [], {}, 0
             last_row, before = -1, None
-            for (i, k, _), (a, b) in zip(turns, spans):
+            for i, k, own in turns:
+                a, b = b, b + len(own)
                 if i != last_row:
                     last_row, before = i, None
                 langs = turn_languages(segs[a:b], best[a:b], sure[a:b], before)
                 if langs:
-                    before = max(langs, key=langs.get)
-                found.setdefault(i, []).extend((k, lang, p) for lang, p in langs.items())
-            out = []
+                    before = max(langs, key=lambda x: sure[a + langs[x]])
+                if parts:
+                    out += [(ids[i], k, no, start, end, LANGS[lang], p) for no, (start, end, lang, p) in enumerate(_merged(own, best[a:b], firm[a:b], langs))]
+                else:
+                    found.setdefault(i, []).extend((k, lang, float(firm[a + at])) for lang, at in langs.items())
             for i, rows in found.items():
                 have = {LANGS[lang] for _, lang, _ in rows}
                 wrong = have != {(labels[i] or "").strip().lower()}
                 out += [(ids[i], k, LANGS[lang], p, wrong) for k, lang, p in rows]
-            cols = list(zip(*out)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.bool_())], ["id", "turn_no", "lang", "confidence", "wrong"])
+            cols = list(zip(*out)) or [()] * len(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, shape)], [n for n, _ in shape])
+
+    return df.select("id", "language", "conversation").mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in shape))
+
+
+def label_turns(df: DataFrame, model: Model) -> DataFrame:
+    """(id, turn_no, lang, confidence, wrong) for each user, human or assistant turn and language.
+
+    ``wrong`` holds for all rows of an example whose trimmed, lower-cased label isn't the
+    one language of these turns.
+    """
+    return _label(df, model, False)
+
 
-    return df.select("id", "language", "conversation").mapInArrow(run, "id string, turn_no int, lang string, confidence double, wrong boolean")
+def label_segments(df: DataFrame, model: Model) -> DataFrame:
+    """(id, turn_no, segment_no, start, end, lang, confidence): the stretches of one language of each turn, as places in its content."""
+    return _label(df, model, True)

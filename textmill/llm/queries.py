@@ -28,6 +28,12 @@ def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
     return lang.label_turns(examples, lang.fit(_t(spark, sf, "lang_samples"), examples)).drop("wrong").groupBy("id", "turn_no", "lang").agg(F.max("confidence").alias("confidence"))
 
 
+def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The stretches of one language of every turn, with their places and confidence."""
+    examples = _t(spark, sf, "instruction_examples")
+    return lang.label_segments(examples, lang.fit(_t(spark, sf, "lang_samples"), examples)).distinct()
+
+
 def _personal_texts(spark: SparkSession, sf: str) -> DataFrame:
     messages = personal._texts(_t(spark, sf, "chat_messages"), "chat_messages", "id", ["content"])
     return messages.unionByName(personal._texts(_t(spark, sf, "memory_items"), "memory_items", "id", ["question", "answer"]))
