@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.session import cut, shuffle_partitions
@@ -17,6 +17,11 @@ from textmill.session import cut, shuffle_partitions
 PID = "_pid"
 
 
+def ranges_for(spark: SparkSession) -> int:
+    """The number of ranges to cut a frame into: the shuffle's partitions, four for each core at least."""
+    return max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
+
+
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int | None = None) -> DataFrame:
     """Range-sort by ``keys`` and ``order`` and add ``_pid``, the chunk of each row.
 
