@@ -52,7 +52,8 @@ ARABIC = (0, 1)
 LATIN = (1, 2, 3, 4, 5)
 
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.DOTALL)
-_ASIDE = re.compile(r"\([^()]{0,200}\)|\[[^\[\]]{0,60}\]|https?://\S+|\S+@\S+")
+# What stands beside the text, with the sign that each must hold.
+_ASIDES = (("(", re.compile(r"\([^()]{0,200}\)")), ("[", re.compile(r"\[[^\[\]]{0,60}\]")), ("://", re.compile(r"https?://\S+")), ("@", re.compile(r"[^\s@]+@\S+")))
 _QUOTED = re.compile(r"\"[^\"\n]{1,60}\"|«[^«»\n]{1,60}»|“[^“”\n]{1,60}”|„[^„“\n]{1,60}“")
 _END = re.compile(r"(?<=[.!?؟…;؛])\s+|\n+|(?<=[:：])\s+(?=\S)")
 _AR = re.compile(r"[؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿]")
@@ -62,8 +63,12 @@ _MARKER = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s+")
 STAND_INS = frozenset("n/a|na|none|null|nil|nan|todo|tbd|tba|blank|empty|no answer|no response|not available|unknown|missing|undefined|placeholder|لا يوجد|لا إجابة|لا جواب|لا توجد إجابة|غير متوفر|فارغ|بدون إجابة|مفيش|sin respuesta|ninguno|ninguna|aucun|aucune|aucune réponse|sans réponse|vide|keine|keine antwort|leer|entfällt|pas de réponse|no hay respuesta".split("|"))
 
 
+_LONGEST = max(map(len, STAND_INS))
+
+
 def is_stand_in(text: str) -> bool:
-    return text.strip(" \t\n.()[]{}<>-–—_*#\"'!?:;").lower() in STAND_INS
+    t = text.strip(" \t\n.()[]{}<>-–—_*#\"'!?:;")
+    return len(t) <= _LONGEST and t.lower() in STAND_INS
 
 
 def _hide(m: re.Match) -> str:
@@ -75,7 +80,9 @@ def spans(text: str) -> list[tuple[int, int, str, bool]]:
     shown = text
     if "```" in shown:
         shown = _CODE.sub(lambda m: "\n" * len(m[0]), shown)
-    shown = _ASIDE.sub(_hide, shown)
+    for sign, aside in _ASIDES:
+        if sign in shown:
+            shown = aside.sub(_hide, shown)
     if '"' in shown or "“" in shown or "«" in shown or "„" in shown:
         shown = _QUOTED.sub(lambda m: m[0] if len(m[0].split()) > 5 else _hide(m), shown)
     out, a = [], 0

@@ -38,18 +38,53 @@ DANGLING = frozenset(
 )
 _APOS = "['’`´ʼ]"
 # Ways to decline, by language.
-_REFUSE = "|".join((
+_REFUSE = (
     rf"\b(?:can ?not|can{_APOS}?t|could not|couldn{_APOS}?t|won{_APOS}?t|will not|am not able to|{_APOS}m not able to|am unable to|{_APOS}m unable to|unable to|must not|may not|am not allowed to|{_APOS}m not allowed to|not permitted to) (?:be able to )?(?:help|assist|answer|respond|reply|discuss|provide|give|go into|comment|advise|talk|do|comply|fulfil|fulfill|engage|support|offer|say|share|continue)",
     r"\b(?:must|have to|need to) (?:decline|refuse|pass|abstain|leave alone)\b", r"\b(?:a subject|a topic|something) i (?:have to|must) (?:leave alone|decline|avoid)", rf"i(?: would|{_APOS}d) rather not\b", rf"i(?: do not|{_APOS}m not| am not| don{_APOS}t) (?:feel )?comfortable",
     r"\bno (?:answer|reply|response|comment|information)\b[^.!?]{0,80}\b(?:can|could|may) be (?:given|offered|provided|made)", r"\b(?:outside|beyond|against) (?:of )?(?:my|what i)\b", r"\bgoes beyond what i am\b", r"is not something i (?:do|can|am)\b", rf"is something i (?:won{_APOS}?t|can{_APOS}?t|cannot|will not)\b", r"\b(?:instructions|guidelines|rules|policy|policies) (?:keep|prevent|forbid|stop|do not allow|don.t allow|prohibit)", r"would not be right for me\b", r"\bi (?:decline|refuse) to\b", r"\bnot in a position to\b",
     r"\bne (?:peux|puis|pourrai|pourrais|saurais|suis pas autorisé|suis pas en mesure)\b[^.!?]{0,20}(?:pas|aider|répondre)?", r"\bm.est (?:impossible|interdit)\b", r"\bpréfère ne pas\b", r"\brefuse de\b", r"\bpas (?:autorisé|en mesure|le droit)\b", r"\bhors de (?:mon|mes)\b", r"\bje dois (?:décliner|refuser)\b", r"\bregret de ne\b", r"\bje ne (?:donne|réponds|souhaite|veux) (?:pas|rien)\b",
     r"\bno (?:puedo|podré|podría|me es posible|estoy autorizad[oa]|me está permitido|estoy en condiciones|quiero|debo)\b", r"\bprefiero no\b", r"\bme niego a\b", r"\bdebo (?:declinar|rechazar|negarme)\b", r"\bfuera de (?:mi|mis)\b", r"\bme resulta imposible\b", r"\bno tengo permitido\b",
     r"\b(?:kann|darf|möchte|will|könnte|werde)\b[^.!?]{0,60}\b(?:nicht|nichts|keine?n?)\b[^.!?]{0,40}\b(?:helfen|beantworten|antworten|sagen|unterstützen|geben|sprechen|beitragen|äußern|dienen)", r"\b(?:nicht|keine) (?:in der lage|befugt|berechtigt|möglich)\b", r"\bmuss\b[^.!?]{0,40}\bablehnen\b", r"\baußerhalb mein", r"\blehne (?:ich )?ab\b", r"\bist mir (?:leider )?(?:nicht erlaubt|untersagt|unmöglich)\b",
+    r"\bmesh (?:ha2dar|2ader|hayenfa3|masmoo7|masmo7)\b|\bma(?:2|q)darsh\b|\bm2darsh\b|\bmayenfa3sh\b",
+)
+# Ways to decline in Arabic script.
+_REFUSE_ARABIC = (
     r"لا (?:أستطيع|يمكنني|أقدر|يُ?سمح لي|يحق لي|أملك|أرغب|أجيب|أود)", r"(?:لن|لم) (?:أتمكن|أستطيع|أقدر)", r"ليس (?:من صلاحيا?تي|بإمكاني|بوسعي|مسموحا?ً?ا? لي|لدي)", r"(?:أمتنع|أعتذر) عن", r"(?:يجب|علي|عليّ) (?:علي )?(?:أن )?أرفض", r"أرفض", r"خارج (?:نطاق|حدود|صلاحيا)", r"أفضّ?ل (?:عدم|ألا|أن لا)", r"غير (?:مسموح|مخو[ّ]?ل|قادر)",
     r"(?:مش|مو|ما) (?:هقدر|حقدر|قادر|بقدر|أقدر|اقدر|فيني|رح أقدر|راح أقدر|مسموح|من حقي|ينفع)", r"مقدرش|ماقدرش|مينفعش|ما ?بقدر|ما ?فيني", r"بر[ّ]?ه اللي أقدر|برا اللي أقدر",
-    r"\bmesh (?:ha2dar|2ader|hayenfa3|masmoo7|masmo7)\b|\bma(?:2|q)darsh\b|\bm2darsh\b|\bmayenfa3sh\b",
-))
-REFUSE = re.compile(_REFUSE)
+)
+
+
+def _one_of(patterns: tuple[str, ...]) -> re.Pattern:
+    """One pattern; those that begin at a word boundary share it, so that other places are passed over at once."""
+    edge = [x[2:] for p in patterns for x in _branches(p) if x.startswith(r"\b")]
+    free = [x for p in patterns for x in _branches(p) if not x.startswith(r"\b")]
+    return re.compile("|".join([*([rf"\b(?:{'|'.join(edge)})"] if edge else []), *free]))
+
+
+def _branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside its groups."""
+    out, depth, begin = [], 0, 0
+    for i, c in enumerate(pattern):
+        if c in "([" and pattern[i - 1 : i] != "\\":
+            depth += 1
+        elif c in ")]" and pattern[i - 1 : i] != "\\":
+            depth -= 1
+        elif c == "|" and not depth:
+            out.append(pattern[begin:i])
+            begin = i + 1
+    return [*out, pattern[begin:]]
+
+
+_LATIN_REFUSAL, _ARABIC_REFUSAL = _one_of(_REFUSE), _one_of(_REFUSE_ARABIC)
+
+
+def refusing(text: str) -> re.Match | None:
+    """The first way to decline in a lower-cased text; each script has its own."""
+    a = _ARABIC_REFUSAL.search(text) if not text.isascii() and lang._AR.search(text) else None
+    b = _LATIN_REFUSAL.search(text) if lang._LA.search(text) else None
+    return min((m for m in (a, b) if m), key=lambda m: m.start(), default=None)
+
+
 # What may stand beside a refusal without giving anything.
 FILLER = re.compile(
     r"^(?:(?:i(?:'|’)?m )?sorry|my apologies|apologies|unfortunately|thank(?:s| you)\b|please (?:ask|contact|consult|see|speak|talk|try)|is there (?:something|anything)|let us|feel free|i (?:understand|hope|appreciate)|as an? (?:ai|assistant)|(?:je suis )?désolé|merci|veuillez|y a-t-il|avez-vous|lo siento|gracias|por favor|perdón|hay algo|puedo ayudar|tut mir|es tut|leider|danke|bitte|entschuldig|gibt es|kann ich sonst|"
@@ -60,6 +95,7 @@ _SPLIT = re.compile(r"(?<=[.!?؟…])[\"”»')\]]*\s+|\n+")
 _BUT = re.compile(r"\b(?:but|however|yet|mais|cependant|pero|aber|jedoch)\b|لكن|غير أن|بس ")
 _QUOTE = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|«[^»\n]{0,200}»|„[^“”\n]{0,200}[“”]|‘[^’\n]{3,200}’")
 _WORD = re.compile(r"[^\W_]+(?:[ً-ْٰ̀-ͯ][^\W_]*)*", re.UNICODE)
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 _MARKS = re.compile("[ً-ْٰـ]")
 _ENDS = re.compile(r"[.!?؟…。][\"'”»’)\]*_`]*$")
 _LATIN_NAME = re.compile(r"^[A-Z][a-z]+$")
@@ -72,36 +108,36 @@ ASKED = {
     "es": r"spanish|espagnol|spanisch|español|castellano|الإسبانية|إسباني",
 }
 _ASK = {k: re.compile(rf"(?:{v})\b", re.IGNORECASE) for k, v in ASKED.items()}
+_ANY = re.compile(r"\w")
 _PAREN = re.compile(r"\([^()]*\)")
 
 
 def _plain(text: str) -> list[str]:
-    return [w for w in _WORD.findall(_MARKS.sub("", text.lower()))]
+    text = text.lower()
+    return _PLAIN_WORD.findall(text) if text.isascii() else _WORD.findall(_MARKS.sub("", text))
 
 
 def is_empty(answer: str | None) -> bool:
-    if answer is None or not re.search(r"\w", answer):
-        return True
-    return lang.is_stand_in(answer) if len(answer) < 80 else False
+    return answer is None or not _ANY.search(answer) or lang.is_stand_in(answer)
 
 
 def is_refusal(answer: str) -> bool:
     """Declines and gives nothing: every sentence is a refusal or a filler, and one is a refusal."""
-    if len(answer) > 1200 or "```" in answer:
+    if "```" in answer:
         return False
     refused = False
-    for s in _SPLIT.split(answer):
+    for s in sorted(_SPLIT.split(answer), key=len):  # every sentence must pass, and short ones are told soonest
         s = s.strip(" \t-*•\"'“”")
-        if not re.search(r"\w", s):
+        if not _ANY.search(s):
             continue
         low = s.lower()
         bare = _QUOTE.sub(" ", low)
-        if REFUSE.search(bare) and not _LATER.search(bare):
+        m = refusing(bare)
+        if m and not _LATER.search(bare):
             # a refusal of one thing that goes on to give another
-            m = REFUSE.search(bare)
             rest = bare[m.end() :]
             turn = _BUT.search(rest)
-            if turn and len(rest[turn.end() :].split()) >= 3 and not REFUSE.search(rest[turn.end() :]):
+            if turn and len(rest[turn.end() :].split()) >= 3 and not refusing(rest[turn.end() :]):
                 return False
             refused = True
         elif _LATER.search(bare) or not FILLER.match(low) or len(low.split()) > 14:
@@ -168,22 +204,23 @@ def cut_off(answer: str) -> tuple[bool, str | None]:
     return False, ("^" if doubtful else "") + w
 
 
-def languages(model: lang.Model, texts: list[str | None]) -> list[set[int]]:
-    segs, spans = [], []
-    for t in texts:
-        own = lang.segments(t) if t and not lang.is_stand_in(t) else []
-        spans.append((len(segs), len(segs) + len(own)))
-        segs += own
+def _group(x: int) -> str:
+    return "ar" if x in lang.ARABIC else lang.LANGS[x]
+
+
+def languages(model: lang.Model, texts: list[list[tuple[str, bool]]]) -> list[set[str]]:
+    """The languages of texts given as stretches; ``ar`` and ``ar-dialect`` are one."""
+    segs = [s for own in texts for s in own]
     best, sure = lang.classify(model, segs)
-    out = []
-    for a, b in spans:
-        strong = {int(x) for (s, _), x, p in zip(segs[a:b], best[a:b], sure[a:b]) if lang.words(s) >= 3 and p >= 0.6}
-        out.append(strong)
+    out, at = [], 0
+    for own in texts:
+        out.append({_group(int(best[i])) for i in range(at, at + len(own)) if sure[i] >= 0.6})
+        at += len(own)
     return out
 
 
-def _group(langs: set[int]) -> set[str]:
-    return {"ar" if x in lang.ARABIC else lang.LANGS[x] for x in langs}
+def stretches(text: str | None) -> list[tuple[str, bool]]:
+    return [s for s in lang.segments(text) if lang.words(s[0]) >= 3] if text and not lang.is_stand_in(text) else []
 
 
 def foreign(model: lang.Model, questions: list[str], answers: list[str | None]) -> list[bool]:
@@ -191,13 +228,14 @@ def foreign(model: lang.Model, questions: list[str], answers: list[str | None])
     out = [False] * len(questions)
     # Sentences of Arabic script on both sides settle most pairs at once.
     open_ = [i for i, (q, a) in enumerate(zip(questions, answers)) if a and not (lang._AR.search(a) and lang._AR.search(q) and not lang._LA.search(a))]
-    ql = languages(model, [questions[i] for i in open_])
-    al = languages(model, [answers[i] for i in open_])
-    for i, x, y in zip(open_, ql, al):
-        have, given = _group(x), _group(y)
+    q, a = [stretches(questions[i]) for i in open_], [stretches(answers[i]) for i in open_]
+    # One stretch of either side in one language settles a pair; the others are read whole.
+    heads = zip(languages(model, [x[:2] for x in q]), languages(model, [x[:2] for x in a]))
+    left = [k for k, (x, y) in enumerate(heads) if not x & y and q[k] and a[k]]
+    for k, have, given in zip(left, languages(model, [q[k] for k in left]), languages(model, [a[k] for k in left])):
         if have and given and not have & given:
-            asked = _PAREN.sub(" ", questions[i])
-            out[i] = not any(_ASK[g].search(asked) for g in given)
+            asked = _PAREN.sub(" ", questions[open_[k]])
+            out[open_[k]] = not any(_ASK[g].search(asked) for g in given)
     return out
 
 
@@ -229,7 +267,7 @@ def check_udf(table):
     return check
 
 
-END_WORD = r"([\p{L}\p{M}]{2,40})[\"'”»’)]*[.!?؟…](?=\s|$)"
+END_WORD = r"(?<![\p{L}\p{M}])([\p{L}\p{M}]+)[\"'”»’)]*[.!?؟…](?=\s|$)"
 RARE = 20
 
 
@@ -253,7 +291,9 @@ def defects(pairs: DataFrame, texts: DataFrame, model: lang.Model) -> DataFrame:
     longer = ends.where("n >= 2 and length(word) > 1").select(F.expr("explode(transform(sequence(1, length(word) - 1), k -> substring(word, 1, k)))").alias("word"), "n")
     longer = longer.groupBy("word").agg(F.max("n").alias("n_longer"))
     known = ends.join(longer, "word", "full").withColumnRenamed("word", "last")
-    found = found.join(known, "last", "left")
+    # answers without a word to look up are spread over keys that no word has, so that they don't meet on null
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("string"))
+    found = found.withColumn("k", F.coalesce("last", spread)).join(known.withColumnRenamed("last", "k"), "k", "left")
     whole = F.coalesce(F.col("n"), F.lit(0))
     cut_word = F.col("last").isNotNull() & (((whole == 0) & (~F.col("doubtful") | F.col("n_longer").isNotNull())) | (F.coalesce("n_longer", F.lit(0)) > RARE * whole))
     flags = F.filter(
