@@ -22,8 +22,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,7 +41,6 @@ SINGLE_LATIN = (("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("cp1252", "cp437
 # Greek letters that also stand for Latin ones on purpose (problem 5) and so prove no wrong encoding.
 GREEK_LOOK_ALIKES = "αγηικνορστυω"
 MIN_RUN = 3
-MAX_ROUNDS = 4
 LATIN_LIKE = ("latin-1", "cp1252", "cp1250", "cp1254")
 REPLACEMENT = "�"
 # What a decoder puts for a byte that the wrong encoding doesn't have.
@@ -193,6 +194,19 @@ def _unescape(s: str) -> str:
     return html.unescape(s)
 
 
+class _Taken:
+    """Whether a stretch meets any of some intervals, in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts = [s for s, _ in spans]
+        self.ends = list(accumulate((e for _, e in spans), max))
+
+    def __call__(self, s: int, e: int) -> bool:
+        i = bisect_left(self.starts, e)
+        return i > 0 and self.ends[i - 1] > s
+
+
 def _spans(text: str) -> list[tuple[int, int, str]]:
     """Garbled spans (start, end, kind) of one pass: 'u' for UTF-8, 's' for single-byte Arabic, 'l' for single-byte Latin, 'x' for lost characters."""
     hits: list[tuple[int, int, str, bool]] = []
@@ -201,13 +215,13 @@ def _spans(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     if hits:
         utf = sorted((s, -e, w) for s, e, k, w in hits if k == "u")
-        strong = [(s, -e) for s, e, w in utf if not w]
+        strong = _Taken([(s, -e) for s, e, w in utf if not w])
         run_s, run_e = -1, -1
         for s, e, k, _ in [*sorted(h for h in hits if h[2] == "s"), (len(text) + 9, len(text) + 9, "s", True)]:
             if run_s >= 0 and s > run_e and not (s - run_e <= 6 and not re.search(r"[A-Za-z]", text[run_e:s])):
                 piece = text[run_s:run_e]
                 longest = max((len(x) for x in re.findall(r"[^\x00-\xbf]+", piece)), default=0)
-                if longest >= MIN_RUN and _case_breaks(piece) and not any(a < run_e and run_s < b for a, b in strong) and _best_single(piece):
+                if longest >= MIN_RUN and _case_breaks(piece) and not strong(run_s, run_e) and _best_single(piece):
                     out.append((*_widen(text, run_s, run_e), "s"))
                 run_s = -1
             if run_s < 0:
@@ -215,7 +229,8 @@ def _spans(text: str) -> list[tuple[int, int, str]]:
             else:
                 run_e = max(run_e, e)
         if out:
-            utf = [x for x in utf if not any(a < -x[1] and x[0] < b for a, b, _ in out)]
+            taken = _Taken([x[:2] for x in out])
+            utf = [x for x in utf if not taken(x[0], -x[1])]
         # longest match first at each place, then chains of touching matches
         chain: list[tuple[int, int, bool]] = []
 
@@ -234,12 +249,14 @@ def _spans(text: str) -> list[tuple[int, int, str]]:
             chain.append((s, e, w))
             at = e
         close()
-    for s, e, k, _ in hits:
-        if k == "l" and not any(a < e and s < b for a, b, _ in out):
+    taken = _Taken([x[:2] for x in out])
+    at = -1
+    for s, e, k, _ in sorted(h for h in hits if h[2] == "l"):
+        if s >= at and not taken(s, e):
             out.append((s, e, "l"))
-    for m in re.finditer(REPLACEMENT, text):
-        if not any(a <= m.start() < b for a, b, _ in out):
-            out.append((m.start(), m.end(), "x"))
+            at = e
+    taken = _Taken([x[:2] for x in out])
+    out += [(m.start(), m.end(), "x") for m in re.finditer(REPLACEMENT, text) if not taken(m.start(), m.end())]
     return sorted(out)
 
 
@@ -291,8 +308,9 @@ def repair(text: str) -> tuple[str, list[tuple[int, int]]]:
                 at = m.end()
         if found:
             text = "".join([*parts, text[at:]])
-    first = True
-    for _ in range(MAX_ROUNDS):
+    first, seen = True, set()
+    while text not in seen:  # a round that leads back to an earlier text ends the search
+        seen.add(text)
         spans = _spans(text)
         if first:
             where = where or [(a, b) for a, b, _ in spans]
@@ -305,10 +323,7 @@ def repair(text: str) -> tuple[str, list[tuple[int, int]]]:
             piece = text[s:e]
             parts += [text[at:s], _undo(piece) if kind in ("u", "l") else (_best_single(piece) or piece)]
             at = e
-        new = "".join([*parts, text[at:]])
-        if new == text:
-            break
-        text = new
+        text = "".join([*parts, text[at:]])
     return text, where
 
 
