@@ -207,9 +207,9 @@ def test_sessions_keep_messages_without_a_time(ready):
     m = [(1, 1, "user", "a", 0), (2, 1, "assistant", "b", None), (3, 1, "user", "c", 30), (4, 1, "assistant", "d", 9000), (5, 2, "user", "e", None), (6, 2, "assistant", "f", None)]
     m += [(100 + i, 3, "user" if i % 2 == 0 else "assistant", str(i), 30 * i) for i in range(60)]
     df = ready.createDataFrame(m, "id bigint, conversation_id bigint, role string, content string, t bigint").withColumn("created_at", F.timestamp_seconds("t"))
-    got = {(r["conversation_id"], r["session_no"]): (r["turns"], r["users"], r["assistants"], r["replied"], r["started"] is None) for r in rebuild.sessions(df).collect()}
+    got = {(r["conversation_id"], r["session_no"]): (r["turns"], r["users"], r["assistants"], r["replied"], r["started"] is None) for r in rebuild.sessions(df, replied_only=False).collect()}
     assert got == {(1, 0): (3, 2, 1, True, False), (1, 1): (1, 0, 1, False, False), (2, 0): (2, 1, 1, True, True), (3, 0): (60, 30, 30, True, False)}
-    assert {(r["conversation_id"], r["session_no"]) for r in rebuild.sessions(df, replied_only=True).collect()} == {(1, 0), (2, 0), (3, 0)}
+    assert {(r["conversation_id"], r["session_no"]) for r in rebuild.sessions(df).collect()} == {(1, 0), (2, 0), (3, 0)}
 
 
 def test_a_hot_conversation_is_cut_into_ranges(ready):
@@ -218,7 +218,37 @@ def test_a_hot_conversation_is_cut_into_ranges(ready):
     conv = ready.createDataFrame([(1,)], "id bigint")
     assert rebuild.defects(df, conv).count() == 0
     assert {r["defect"] for r in rebuild.defects(df.where("id <> 2001"), conv).collect()} == {"no_reply"}
-    assert rebuild.ordered_turns(df).select("_pid").distinct().count() > 1
+    assert rebuild._sorted(rebuild.counted(df), ["conv"]).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    turns = rebuild.rebuild(df, conv)
+    assert turns.count() == 4000 and turns.where("turn_no <> id").count() == 0
+
+
+def test_edges_between_batches_and_ranges(ready):
+    rnd = random.Random(9)
+    m = []
+    for conv in range(1, 9):
+        t = 0
+        for k in range(rnd.randrange(1, 60)):
+            t += rnd.randrange(11, 90)
+            m.append((len(m) + 1, conv, rnd.choice(["user", "user", "assistant", "assistant", "system", "x"]) if conv < 3 else ("user", "assistant")[k % 2], f"m{k}", t if rnd.random() < 0.8 else None))
+    df = ready.createDataFrame(m, "id bigint, conversation_id bigint, role string, content string, t bigint").withColumn("created_at", F.timestamp_seconds("t"))
+    conv = ready.range(1, 9)
+    want = {tuple(r) for r in rebuild.defects(df, conv).collect()}
+    ready.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {tuple(r) for r in rebuild.defects(df, conv).collect()} == want
+        assert rebuild.sessions(df, replied_only=False).agg(F.sum("turns")).first()[0] == len(m)
+    finally:
+        ready.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_roles_are_inferred(ready):
+    m = [(1, 1, "user", "a?", 0, None), (2, 1, None, "b", 1, None), (3, 1, "assistnt", "c", 30, None), (4, 1, "Usr", "d", 60, None), (5, 1, "??", "e", 90, "7,8"), (6, 2, "bla", "what?", 0, None), (7, 2, "bla", "that", 20, None), (8, 3, "user", "q", 0, None), (9, 3, "zzz", "q", 20, None), (10, 3, "assistant", "r", 40, None)]
+    df = ready.createDataFrame(m, "id bigint, conversation_id bigint, role string, content string, t bigint, used_memory_ids string").withColumn("created_at", F.timestamp_seconds("t"))
+    rows = rebuild.range_chunks(rebuild.counted(df).join(rebuild._evidence(df), ["conv", "id", "h"], "left").drop("h"), ["conv"], rebuild.ORDER)
+    got = {r["id"]: rebuild.ROLES[r["role"]] for r in rebuild.infer_roles(rows).collect()}
+    assert got == {1: "user", 2: "assistant", 3: "assistant", 4: "user", 5: "assistant", 6: "user", 7: "other", 8: "user", 9: "other", 10: "assistant"}
+    assert rebuild.sessions(df.limit(0)).count() == 0
 
 
 # 5
@@ -433,3 +463,39 @@ def test_all_queries_are_there():
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} <= set(names) and set(queries.oracle_sql()) <= set(names)
     for n in range(1, 11):
         assert any(q.startswith(f"p{n}_") for q in names)
+
+
+@pytest.mark.parametrize("times", [5, 8])
+def test_text_garbled_many_times_is_restored(times):
+    text = "café à côté"
+    for _ in range(times):
+        text = text.encode().decode("latin-1")
+    assert garbled.repair(text)[0] == "café à côté"
+
+
+def test_a_long_garbled_text_takes_linear_time():
+    import time
+
+    bad = "Où est l'été déjà passé ? ".encode().decode("latin-1") + AR.encode("cp1256").decode("cp1252") + " \n sound text in between. "
+    began = time.time()
+    fixed, spans = garbled.repair(bad * 5000)
+    assert time.time() - began < 60 and len(spans) >= 10_000 and "Ã" not in fixed
+
+
+@pytest.mark.parametrize("n", [1, 60, 400])
+def test_refusals_and_stand_ins_of_any_length(n):
+    assert pairs.is_refusal("I'm sorry, but I can't help with that request. " * n)
+    assert not pairs.is_refusal("I'm sorry, but I can't help with that request. " * n + "Store the rain in a tank behind the house.")
+    assert pairs.is_empty("(" * n + "no answer" + ")" * n)
+
+
+def test_refusal_patterns_are_all_kept():
+    for group, rx in ((pairs._REFUSE, pairs._LATIN_REFUSAL), (pairs._REFUSE_ARABIC, pairs._ARABIC_REFUSAL)):
+        parts = [b for p in group for b in pairs._branches(p)]
+        assert "|".join(pairs._branches("|".join(group))) == "|".join(group)
+        assert len(rx.pattern) >= sum(len(b) - 2 for b in parts)
+
+
+def test_answers_without_a_last_word_are_spread(ready, model):
+    df = ready.range(300).select(F.col("id").cast("string").alias("id"), F.lit("How do I save water?").alias("question"), F.lit("Store the rain in a tank.").alias("answer"))
+    assert pairs.defects(df, df.select(F.col("answer").alias("text")), model).count() == 0

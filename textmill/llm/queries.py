@@ -65,9 +65,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_turns(spark: SparkSession, sf: str) -> DataFrame:
     """The ordered turns of the conversations without a defect."""
-    messages, conversations = _t(spark, sf, "chat_messages"), _t(spark, sf, "conversations")
-    turns = rebuild.rebuild(messages)
-    return turns.join(rebuild.defects(messages, conversations).select("conversation_id").distinct(), "conversation_id", "left_anti")
+    return rebuild.rebuild(_t(spark, sf, "chat_messages"), _t(spark, sf, "conversations"))
 
 
 def p4_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +147,7 @@ k AS (SELECT *, CAST(sum(c) OVER (PARTITION BY source ORDER BY score DESC) AS BI
 b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(abs(kept - f * n), 6), score DESC) AS p FROM k)
 """
 
-_P4 = r"""
+_P4_STATES = r"""
 WITH m0 AS (
   SELECT DISTINCT conversation_id AS conv, id, role, content, created_at AS ts FROM chat_messages WHERE conversation_id IS NOT NULL),
 m1 AS (
@@ -173,11 +171,40 @@ u AS (
 g AS (
   SELECT c.id AS conv, coalesce(s.talk, 0) AS talk, coalesce(s.broken, FALSE) OR coalesce(u.broken, FALSE) AS broken, coalesce(u.no_reply, FALSE) AS no_reply
   FROM (SELECT DISTINCT id FROM conversations WHERE id IS NOT NULL) c LEFT JOIN s ON s.conv = c.id LEFT JOIN u ON u.conv = c.id)
+"""
+_P4 = _P4_STATES + """
 SELECT conv AS conversation_id, 'empty' AS defect FROM g WHERE talk = 0
 UNION ALL SELECT conv, 'broken' FROM g WHERE broken
 UNION ALL SELECT conv, 'no_reply' FROM g WHERE no_reply
 UNION ALL SELECT DISTINCT conv, 'orphan' FROM m0 WHERE conv NOT IN (SELECT id FROM conversations WHERE id IS NOT NULL)
 """
+_P4_TURNS = _P4_STATES + """
+SELECT conv AS conversation_id, CAST(place - 1 AS BIGINT) AS turn_no, id, r AS role, ts AS created_at, content FROM m4
+WHERE conv IN (SELECT conv FROM g WHERE talk > 0 AND NOT broken AND NOT no_reply)
+"""
+_FLIP = "CASE WHEN {0} = 'user' THEN 'assistant' WHEN {0} = 'assistant' THEN 'user' END"
+_P4_SESSIONS = _P4_STATES + f""",
+ev AS (
+  SELECT conversation_id AS conv, id, lower(trim(coalesce(role, ''))) AS rr, coalesce(content, '') AS cc, bool_or(coalesce(length(trim(used_memory_ids)), 0) > 0) AS uses FROM chat_messages GROUP BY ALL),
+x AS (
+  SELECT m4.*, ev.uses, ev.rr, regexp_matches(cc, '[?؟]\\s*$') AS asks,
+         last_value(CASE WHEN r IN ('user', 'assistant') THEN r END IGNORE NULLS) OVER (PARTITION BY m4.conv ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+         first_value(CASE WHEN r IN ('user', 'assistant') THEN r END IGNORE NULLS) OVER (PARTITION BY m4.conv ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt,
+         epoch_us(ts) - epoch_us(last_value(ts IGNORE NULLS) OVER (PARTITION BY m4.conv ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS gap
+  FROM m4 JOIN ev ON ev.conv = m4.conv AND ev.id = m4.id AND rr = lower(trim(coalesce(role, ''))) AND cc = coalesce(content, '')),
+y AS (
+  SELECT conv, place, ts, gap, CASE WHEN r <> 'other' THEN r WHEN levenshtein(rr, 'user') <= 1 THEN 'user' WHEN levenshtein(rr, 'assistant') <= 3 THEN 'assistant' WHEN levenshtein(rr, 'system') <= 2 THEN 'system'
+    WHEN uses THEN 'assistant' WHEN prev = nxt THEN {_FLIP.format('prev')} WHEN nxt IS NULL AND prev IS NOT NULL THEN {_FLIP.format('prev')} WHEN prev IS NULL AND nxt IS NOT NULL THEN {_FLIP.format('nxt')} WHEN asks THEN 'user' ELSE 'other' END AS role FROM x),
+w AS (SELECT gap // 60000000 AS m, 1 << greatest(0, length(bin(gap // 60000000)) - 5) AS w FROM y WHERE gap IS NOT NULL),
+h AS (SELECT (m // w) * w + w AS top, count(*) AS n FROM w GROUP BY 1),
+q AS (SELECT top, sum(n) OVER (ORDER BY top) AS upto, sum(n) OVER () AS all_n FROM h),
+lim AS (SELECT greatest(coalesce(min(top) * 60000000, 0), 60000000) AS limit_us FROM q WHERE upto >= 0.95 * all_n),
+z AS (SELECT *, sum(coalesce(gap > limit_us, FALSE)::INT) OVER (PARTITION BY conv ORDER BY place) AS session_no FROM y, lim),
+v AS (SELECT *, lag(role) OVER (PARTITION BY conv, session_no ORDER BY place) AS before FROM z WHERE role IN ('user', 'assistant')),
+ok AS (SELECT DISTINCT conv, session_no FROM v WHERE role = 'assistant' AND before = 'user')
+SELECT z.conv AS conversation_id, CAST(z.session_no AS BIGINT) AS session_no, count(*) AS turns, count_if(role = 'user') AS users, count_if(role = 'assistant') AS assistants, min(ts) AS started, max(ts) AS ended, TRUE AS replied
+FROM z JOIN ok ON ok.conv = z.conv AND ok.session_no = z.session_no GROUP BY 1, 2
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -187,6 +214,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4,
+        "p4_turns": _P4_TURNS,
+        "p4_sessions": _P4_SESSIONS,
         "p7_found": _P7 + "SELECT DISTINCT r.source, r.id FROM r JOIN b ON r.source = b.source AND b.p = 1 WHERE r.score >= b.score",
         "p7_cutoffs": _P7 + "SELECT source, f AS target_fraction, n, score AS cutoff, kept, kept / n AS kept_share FROM b WHERE p = 1",
     }
