@@ -137,6 +137,42 @@ def test_personal_information(ready):
     assert personal.find(texts, names.limit(0)).where("kind = 'email'").count() == 2
 
 
+UNSEEN = {
+    "Contact Olivia Hartwell about it.": "Olivia Hartwell", "I met Priya Natarajan there.": "Priya Natarajan", "Her name is Łucja Nowak.": "Łucja Nowak", "Mr. O'Brien is away.": "O'Brien", "My name is Zhang Wei.": "Zhang Wei",
+    "My name is Nguyễn Văn An.": "Nguyễn Văn An", "Je m'appelle Élodie Fâcheux.": "Élodie Fâcheux", "Ich heiße Jürgen Groß.": "Jürgen Groß", "Me llamo Íñigo Muñoz.": "Íñigo Muñoz", "Dr Keller called.": "Keller",
+}
+
+
+def test_unseen_names_and_rejected_candidates(ready):
+    rows = [(i, t) for i, t in enumerate(UNSEEN)]
+    df = ready.createDataFrame(rows, "id bigint, content string")
+    real = personal._texts(ready.read.parquet("/root/testdata/sf0.01/chat_messages.parquet"), "chat_messages", "id", ["content"])
+    spans = personal.scored(personal._texts(df, "probe", "id", ["content"]).unionByName(real), ready.read.parquet(f"{SF}/person_names.parquet")).collect()
+    texts = dict(rows)
+    got = {texts[r["row_id"]][r["start"] : r["end"]] for r in spans if r["tbl"] == "probe" and r["p"] >= 0.5 and r["kind"] == "name"}
+    assert got == set(UNSEEN.values())
+    assert any(r["p"] < 0.5 for r in spans if r["kind"] == "name") and any(r["p"] < 0.5 for r in spans if r["kind"] == "phone")
+
+
+def test_candidates_have_no_narrow_gate(ready):
+    names = personal.Names([(r["name"], r["name_part"], r["script"]) for r in ready.read.parquet(f"{SF}/person_names.parquet").collect()])
+    kinds = lambda t: {c[2] for c in personal.candidates(t, names)}
+    for w in personal._NUMBER_WORDS:
+        assert "phone" in kinds(" ".join([w] * 7)), w
+    for t in ("12 Fennel St", "P.O. Box 12", "PO Box 12", "BP 1234", "B.P. 1234", "Postfach 1234", "Boîte postale 123", "Apartado 123", "Casilla 1234", "Gartenstraße 5", "Lindenweg 5", "Marktplatz 5", "12 rue Lumen", "12 bis, avenue Lumen", "calle Mayor 5", "c/ Mayor 5", "avda. Mayor 12", "عمارة 5، شارع النيل", "12، شارع النيل", "شارع النيل، رقم 5", "ص.ب 123", "صب 123", "صندوق بريد 12"):
+        assert "address" in kinds(t), t
+    assert "email" in kinds("mark it with @dataclass")
+    # a letter that changes its number when lower-cased doesn't shift the spans
+    t = "İİİ write to ordan@mailbay.example or 12 Fennel Road"
+    assert {t[c[0] : c[1]] for c in personal.candidates(t, names) if c[2] in ("email", "address")} == {"ordan@mailbay.example", "12 Fennel Road"}
+
+
+def test_a_gazetteer_beyond_its_bound_is_an_error(ready, monkeypatch):
+    monkeypatch.setattr(personal, "MAX_NAMES", 2)
+    with pytest.raises(ValueError):
+        personal.find(personal._texts(ready.createDataFrame([(1, "x")], "id bigint, content string"), "t", "id", ["content"]), ready.read.parquet(f"{SF}/person_names.parquet"))
+
+
 # 3
 
 PAGE = ["Home · Maps · Help · Shop", "The quiet lantern explained", "By the Reader desk | 3 March 2024 | 2 min read", "You should test the lantern in a quiet room, because the first result is rarely final.", "Read also: Another page", "- Save water", "Share | Print | Save", "You may also like", "The final loom explained", "Leave a comment", "tide7 says:", "We measured the lantern twice and the answer stayed reliable.", "© 2024 Reader. All rights reserved."]

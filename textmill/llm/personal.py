@@ -1,15 +1,20 @@
 """Problem 2: personal information in free text, by aggregated weak labelers.
 
-Regex, gazetteer and context labelers each vote for, against or not at all on candidate
-spans. The vote patterns, counted over all rows, go to expectation-maximisation, which
-estimates how reliable each labeler is without labelled data; its posteriors train a
-logistic span classifier for each kind, which decides. The counts are one row for each
-pattern, so that the fit needs no sample and no text leaves the executors.
+Candidates are wide: any run of capitalised words and whatever stands behind a word that
+introduces a person, any @, any street, any number of six digits. Regex, gazetteer and
+context labelers each vote for, against or not at all on a candidate. The vote patterns,
+counted over all rows, go to expectation-maximisation, which estimates how reliable each
+labeler is without labelled data; its posteriors train a logistic span classifier for
+each kind, which decides. The counts are one row for each pattern, so that the fit needs
+no sample and no text leaves the executors. Candidates that no labeler votes for are
+counted, not written; if the classifier accepts such a pattern all the same, the texts
+are read a second time for them.
 
 Defined results: null and empty text has no spans; of overlapping spans the first of
 e-mail, address, identity number, phone and name wins; whole texts are read; repeated
 rows give the same rows once; an empty gazetteer leaves the context labelers; empty
-tables give empty results; extra columns of the input aren't read.
+tables give empty results; extra columns of the input aren't read; a gazetteer of more
+than ``MAX_NAMES`` rows, which couldn't be sent to every worker, is an error.
 """
 
 from __future__ import annotations
@@ -24,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.session import bounded_broadcast, cut
+from textmill.session import cut
 
-MAX_NAMES = 50_000
+MAX_NAMES = 2_000_000
+DOUBT = 0.05  # least share of true names that the gazetteer may miss: none is complete
 KINDS = ("email", "address", "id_number", "phone", "name")
 
 _LOCAL = r"[\w.+%-]+"
@@ -38,6 +44,7 @@ EMAIL = re.compile(
     rf"|{_LOCAL} at {_HOST}(?: dot [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)?)+)",
     re.IGNORECASE,
 )
+ANY_AT = re.compile(r"[^\s@＠﹫]*[@＠﹫][^\s@＠﹫]+")
 # Kinds of streets.
 _STREET_EN = r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Court|Ct|Drive|Dr|Boulevard|Blvd|Square|Sq|Terrace|Place|Way|Close|Crescent|Row|Walk|Hill|Gardens|Quay)"
 _NUM = r"\d{1,5}(?: ?[A-Za-z](?![\w]))?(?: ?[-–/] ?\d{1,5})?"
@@ -52,9 +59,12 @@ ADDRESS = re.compile(
     rf"|(?:شقة \d{{1,4}}[ ،,]+)?\d{{1,5}}[ ،,]+(?:شارع|ش\.?|طريق|ميدان) [^\W\d_]+(?:[ ،,]+(?:شقة|الدور|الطابق|دور) ?\d{{1,4}})*|(?:شارع|طريق|ميدان) [^\W\d_]+(?: ال[^\W\d_]+)?[ ،,]+(?:رقم|عمارة|مبنى|منزل|بناية) ?\d{{1,5}}(?:[ ،,]+(?:شقة|الدور) ?\d{{1,4}})*"
     rf"|(?:صندوق بريد|صندوق البريد|ص\.? ?ب\.?) ?(?:رقم )?\d{{1,8}}",
 )
+STREET = re.compile(rf"\b{_NAMED}{_STREET_EN}\b|\b[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|platz|gasse|allee)\b|\b(?:rue|calle|avenida|plaza) (?:(?:de|du|des|la|le|del) )*[A-ZÀ-Þ][\w'’-]+|(?:شارع|ميدان) [^\W\d_]+")
 _TOWN = re.compile(r",? \d{4,6} [A-ZÀ-Þ][\w-]+(?: [A-Z][\w-]+)?|, [A-ZÀ-Þ][\w-]+(?: (?!The\b|It\b|In\b|We\b|You\b)[A-Z][a-z][\w-]+)?(?: \d{4,6}\b)?")
 NUMBER = re.compile(r"(?<![\w@./\\-])(?:[A-Z]{2} ?\d{6,9}|(?:\+|\(\+?\d|\d)[\d ()./-]*\d)(?![\w@\\]|[.,]\d)(?: ?(?:ext|x|poste|Durchwahl)\.? ?\d{1,5})?")
-_SPELLED_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|zéro|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|صفر|واحد|اثنين|اثنان|إثنين|ثلاثة|تلاتة|أربعة|اربعة|خمسة|ستة|سبعة|ثمانية|تمانية|تسعة)"
+_NUMBER_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|zéro|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|صفر|واحد|اثنين|اثنان|إثنين|ثلاثة|تلاتة|أربعة|اربعة|خمسة|ستة|سبعة|ثمانية|تمانية|تسعة".split("|")
+_SPELLED_WORD = f"(?:{'|'.join(_NUMBER_WORDS)})"
+LEAST_SPELLED = 6
 SPELLED = re.compile(rf"\b{_SPELLED_WORD}(?:[ ,،-]+{_SPELLED_WORD}){{5,}}\b", re.IGNORECASE)
 # Words around numbers.
 PHONE_WORDS = re.compile(r"\b(?:phone|tel|call|calls|text me|mobile|cell|ring|fax|whatsapp|number is|telefon|téléphone|teléfono|appelez|llame|móvil|nummer|rufen|anrufen|portable)\b|هاتف|الهاتف|جوال|موبايل|محمول|تليفون|تلفون|كلم|اتصل|واتساب", re.IGNORECASE)
@@ -77,10 +87,32 @@ _AR_CTX_END = re.compile(_CTX_ARABIC + "$")
 NOT_NAMES = frozenset("the a an i it in on at to of and or but we you he she they this that these those most some each nobody about when if try there what which who how why can could would please give thanks thank ask call send sarah mon mit wie was der die das ich wir le la les je nous el los mi por para".split())
 
 
-TAIL, GIVEN, FAMILY, CONTEXT, LATIN_CONTEXT, PLACE, AT, WORDS = (1 << i for i in range(8))
+TAIL, GIVEN, FAMILY, CONTEXT, PLACE, AT, WORDS = (1 << i for i in range(7))
 _ARABIC_ANCHORS = "اسمي |إسمي |اسمه |اسمها |باسم |السيد |السيدة |بالسيد |بالسيدة |للسيد |سيدة |الأستاذ |الأستاذة |الدكتور |الدكتورة |الشيخ |التحية، |تحياتي، |قابلت |سلملي على |سلم على |موبايل |لـ |لـ|أنا |هوية |هاتف |بريد |يسكن |تسكن ".split("|")
-_LATIN_ANCHORS = ("mrs", "mr.", "ms.", "dr.", "prof", "herr", "frau", "madame", "monsieur", "mme", "señor", "don ", "doña", "my name is", "i'm ", "i’m ", "i am ", "ask for", "spoke with", "met with", "belongs to", "regards,", "thanks,", "cheers,", "sincerely,", "best,", "contact:", "m'appelle", "m’appelle", "chez ", "heiße ", "llamo ", "atentamente,", "saludos,", "cordialement,", "grüßen,", "grüße,", "geht an", "invoice to", "parcel to", "letter to", "is with", "number of", "passport of", "use for", "where does", "it, or")
-_PLACE_ANCHORS = ("street", " st", "avenue", " ave", "road", " rd", "lane", " ln", "court", " ct", "drive", " dr", "boulevard", "blvd", "square", "terrace", "place", " way", "close", "crescent", " row", " walk", " hill", "gardens", "quay", "box", "postfach", "postale", "b.p", "apartado", "casilla", "straße", "strasse", "weg", "platz", "gasse", "allee", "ufer", "damm", "rue ", "chemin", "impasse", "allée", "quai", "route", "calle", "avenida", "avda", "plaza", "paseo", "camino", "carrera", "c/", "شارع", "ش ", "ش.", "طريق", "ميدان", "صندوق", "ص.ب", "ص. ب", "ص ب", "حي ")
+_PLACE_ANCHORS = ("street", " st", "avenue", " ave", "road", " rd", "lane", " ln", "court", " ct", "drive", " dr", "boulevard", "blvd", "square", "terrace", "place", " way", "close", "crescent", " row", " walk", " hill", "gardens", "quay", "box", "postfach", "postale", "b.p", "bp ", "rue", "عمارة", "عماره", "مبنى", "منزل", "فيلا", "بناية", "شقة", "صب", "ص.ب", "ص. ب", "حي", "apartado", "casilla", "straße", "strasse", "weg", "platz", "gasse", "allee", "ufer", "damm", "rue ", "chemin", "impasse", "allée", "quai", "route", "calle", "avenida", "avda", "plaza", "paseo", "camino", "carrera", "c/", "شارع", "ش ", "ش.", "طريق", "ميدان", "صندوق", "ص.ب", "ص. ب", "ص ب", "حي ")
+
+
+# Unicode capitals of the Latin script, and names built of them: O'Brien, Łucja Nowak, Nguyễn Văn An, Ana de la Cruz.
+_UP = "".join(c for c in map(chr, [*range(0x41, 0x250), *range(0x1E00, 0x1F00)]) if c.isupper())
+_TOKEN = rf"[{_UP}][^\W\d_]*(?:['’-][^\W\d_]+)*"
+# What may stand between the words of a name.
+_PARTICLE = r"(?:(?:de|da|del|della|van|von|den|der|bin|ibn|al|el|la|le|di|dos|du|y) ){0,2}"
+OPEN = re.compile(rf"(?<![\w@./'’-]){_TOKEN}(?: {_PARTICLE}(?:{_TOKEN}|[{_UP}]\.)){{0,3}}(?![\w@])")
+_WORD_AHEAD = re.compile(r"([^\W\d_]+\.?)(?:\s+|$)")
+# Words that lead to a name and are no part of it.
+LEADS = frozenset("contact ask call meet dear hi hello hey thanks tell email write mr mrs ms miss dr prof professor herr herrn frau madame monsieur mme señor señora don doña sr sra kontakt liebe lieber hallo bonjour cher chère hola estimado estimada querido querida regards".split())
+_CTX_BEFORE = re.compile(rf"(?:{_CTX_LATIN}|\b(?:name is|named|met|meet|contact|dear|hello|hi|signed|m(?:'|’)appelle|s(?:'|’)appelle|nom est|rencontré|contactez|heißt|heiße|Name ist|getroffen|kontaktieren|llamo|llama|nombre es|conocí a|contacte a)[,:]?)\s+$")
+_TITLE_BEFORE = re.compile(r"\b(?:(?:Mrs|Mr|Ms|Dr|Prof|Sra?)\.?|Miss|Professor|Herrn?|Frau|Madame|Monsieur|Mme|Señora?|Doña|Don)\s+$")
+# What stands before places and things, and behind them.
+_PLACE_BEFORE = re.compile(r"(?:^|\s)(?:in|at|from|near|the|to|on|through|around|across|via|der|die|das|im|am|nach|aus|bei|le|la|les|à|au|du|dans|el|los|las|en|hacia|une?|an?)\s+$", re.IGNORECASE)
+_THING_AFTER = re.compile(r" (?:Street|St|Road|Rd|Avenue|Ave|Lane|Court|Drive|Square|Bay|River|Lake|Library|Museum|School|University|Station|Park|Market|Bridge|Workshop|Garden|Kitchen|Reader)\b|[:@/_]|-?\d")
+_PERSON_AFTER = re.compile(r"(?:['’]s)? (?:said|says|wrote|writes|called|asked|lives|works|told|phoned|will call|a dit|habite|sagte|wohnt|dijo|vive|(?:phone|number|email|e-mail|address|passport)\b)")
+# Capitalised words that are no names: days, months, languages, and what texts and programs begin with.
+COMMON = frozenset(
+    """monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december english arabic french german spanish
+    montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember deutsch englisch lundi mardi mercredi jeudi vendredi samedi dimanche lunes martes miércoles jueves viernes sábado domingo
+    internet python java sql api html css json okay ok yes no sure note example summary step question answer hello sorry fathy""".split()
+)
 
 
 class Names:
@@ -114,7 +146,6 @@ class Names:
         family = f"(?:{parts['family']}|{alt({n.lower() for n, p, s in rows if p == 'family' and s == 'latin'})})"
         family = f"{family}(?:-{family})?"
         self.latin = re.compile(rf"\b(?P<g>{given})\b(?P<i> [A-Z]\.)?(?P<f>[ \t]{family}\b|(?(i)(?: [A-Z][\w-]+)?))?|\b(?P<only>{family})\b", re.IGNORECASE)
-        self.latin_context = re.compile(rf"(?:(?<=\s)|^|(?<=[(]))(?P<c>{_CTX_LATIN})\s+(?P<n>[A-ZÀ-Þ][a-zß-ÿ]{{2,}}(?: [A-Z]\.)?(?: [A-ZÀ-Þ][a-zß-ÿ]{{3,}}(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?)?)")
         ar_given = alt({n for n, p, s in rows if p == "given" and s == "arabic"})
         ar_family = [n for n, p, s in rows if p == "family" and s == "arabic"]
         ends = Counter(n[-3:] for n in ar_family)
@@ -140,10 +171,9 @@ class Names:
         put(GIVEN, self.ar_given)
         put(FAMILY, self.ar_family)
         put(CONTEXT, _ARABIC_ANCHORS)
-        put(LATIN_CONTEXT, _LATIN_ANCHORS)
         put(PLACE, _PLACE_ANCHORS)
         put(AT, ("@", "＠", "﹫", "(at)", "[at]", "{at}", " dot "))
-        put(WORDS, (" zero ", " five ", " cinq ", " fünf ", " cinco ", " خمسة ", " صفر ", " null ", " cero ", " zéro "))
+        put(WORDS, _NUMBER_WORDS)
         auto = ahocorasick.Automaton()
         for w, f in words.items():
             auto.add_word(w, (len(w), f))
@@ -165,11 +195,12 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, str]]:
     out: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
     low = text.lower()
-    if len(low) != len(text):
-        low = text
-    seen, anchors = 0, []
+    if len(low) != len(text):  # places would differ; letters that change their number are kept as they are
+        low = "".join(x if len(x) == 1 else c for c, x in zip(text, map(str.lower, text)))
+    seen, anchors, numbers = 0, [], 0
     for end, (n, f) in names.flags.iter(low):
         seen |= f
+        numbers += bool(f & WORDS)
         if f & (GIVEN | FAMILY | CONTEXT):
             anchors.append((end + 1 - n, end + 1, f))
     if seen & AT:
@@ -186,8 +217,10 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, str]]:
             shape = "+" if (sign and not spaced) or masked or (spaced and sign) else "-"
             tld = "+" if re.search(r"[A-Za-z]{2,}$", text[s:e]) and not re.search(r"\.(?:py|js|md|txt|latest)$", text[s:e]) else "-"
             ctx = "+" if re.search(r"(?:mail|reach me|write|contact|send|على|مراسل|adresse|correo|escrib|Regards|التحية|/|<|\(|\bto|:|-) ?[<(]?$", before, re.IGNORECASE) else "0"
-            if dotted:
-                _add(out, taken, s, e, "email", shape + tld + ("-" if url else "+") + ctx)
+            _add(out, taken, s, e, "email", (shape if dotted else "-") + (tld if dotted else "-") + ("-" if url else "+") + ctx)
+        for m in ANY_AT.finditer(text):
+            if _free(taken, *m.span()):
+                out.append((*m.span(), "email", "--+0"))
     if seen & PLACE and re.search(r"\d", text):
         for m in ADDRESS.finditer(text):
             s, e = m.span()
@@ -199,6 +232,8 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, str]]:
             neg = "-" if re.match(r"\W*(?:junction|scenes|was closed|closed|festival)", after) else "+"
             box = "+" if town else "0"
             _add(out, taken, s, town.end() if town else e, "address", "+" + ctx + neg + box)
+    if seen & PLACE:
+        out += [(*m.span(), "address", "-0" + ("-" if re.match(r"\W*(?:junction|scenes|was closed|closed|festival)", text[m.end() : m.end() + 25]) else "0") + "0") for m in STREET.finditer(text) if _free(taken, *m.span())]
     if _LONG.search(text):
         for m in NUMBER.finditer(text):
             s, e = m.span()
@@ -225,35 +260,33 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, str]]:
                 list_ctx = re.search(r"(?:[;,/:]|@\S+|>|\n|\bor)\s*$", before) is not None
                 votes = ("+" if ph_shape and not no else "-" if no else "0") + ("+" if phw else "0") + ("-" if closest == "ot" else "0") + ("+" if list_ctx else "0") + ("+" if 7 <= n <= 15 else "-")
                 _add(out, taken, s, e, "phone", votes)
-    if seen & WORDS:
+    if numbers >= LEAST_SPELLED:
         for m in SPELLED.finditer(text):
             if _free(taken, *m.span()):
                 near = text[max(0, m.start() - 30) : m.start()]
                 _add(out, taken, *m.span(), "phone", "+" + ("+" if PHONE_WORDS.search(near) else "0") + "0" + ("+" if re.search(r"[;,/:\n]\s*$", near) else "0") + "+")
     spans: list[tuple[int, int, str]] = []
     for m in names.latin.finditer(text) if seen & TAIL else ():
-        g, fam, only = m["g"], m["f"], m["only"]
+        fam_word = (m["f"] or "").strip().lower()
+        word = m["g"] or m["only"]
         s, e = m.span()
-        word = (g or only)
-        fam_word = (fam or "").strip().lower()
         upper = word[0].isupper()
         if not upper and not (fam_word and m["i"] is None):
             continue
-        near = text[max(0, s - 24) : s]
-        ctx = re.search(_CTX_LATIN + r"\s+$", near) is not None
-        if only and not ctx:
+        ctx = _before(text, s)
+        if m["only"] and ctx != "+":
             continue
-        listed = word.lower() in names.given or word.lower().split("-")[0] in names.family
-        votes = ("+" if listed else "0") + ("+" if fam_word else "0") + ("+" if ctx else "0") + "+" + ("+" if upper else "0")
-        spans.append((s, e, votes))
-    for m in names.latin_context.finditer(text) if seen & LATIN_CONTEXT else ():
-        s, e = m.span("n")
-        first = m["n"].split()[0].lower()
-        if first in NOT_NAMES or any(a < e and s < b for a, b, _ in spans):
+        spans.append((s, e, "+" + ("+" if fam_word else "0") + ctx + _after(text, e) + "0" + _titled(text, s) + ("+" if upper else "0")))
+    covered = [(a, b) for a, b, _ in spans]
+    for m in OPEN.finditer(text):
+        s, e, led = _trim(text, *m.span())
+        if e <= s or not _free(taken, s, e) or not _free(covered, s, e):
             continue
-        pair = " " in m["n"]
-        title = m["c"][:1].isupper() and m["c"].rstrip(".") in ("Mrs", "Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Mme")
-        spans.append((s, e, "-" + ("0" if pair else "-") + ("+" if title else "0") + "-" + "+"))
+        words = text[s:e].split()
+        # a word that the text also writes small, or one that is no name, speaks against
+        common = any(w.lower() in COMMON for w in words) or words[0].lower() in NOT_NAMES or (len(words) == 1 and f" {words[0].lower()} " in text)
+        loud = len(words[0]) > 1 and text[s:e].isupper()
+        spans.append((s, e, "-" + ("+" if len(words) > 1 else "-") + (led or _before(text, s)) + _after(text, e) + ("-" if common or loud else "0") + _titled(text, s) + "+"))
     for s, e, f in anchors:
         whole = not (e < len(text) and (text[e].isalnum() or "\u064b" <= text[e] <= "\u0652"))
         before = text[s - 1] if s else " "
@@ -283,6 +316,40 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, str]]:
     return sorted(out)
 
 
+def _trim(text: str, s: int, e: int) -> tuple[int, int, str]:
+    """A run of capitalised words without words that introduce or follow a name; the vote of those before."""
+    led = ""
+    while True:
+        m = _WORD_AHEAD.match(text, s, e)
+        if not m or m[1].lower().rstrip(".") not in LEADS and m[1].lower() not in NOT_NAMES:
+            break
+        led = "+" if m[1].lower().rstrip(".") in LEADS else ""
+        s = m.end()
+    for ending in ("'s", "’s", "'", "’", "-"):
+        if text[s:e].endswith(ending):
+            e -= len(ending)
+    return s, e, led
+
+
+def _before(text: str, s: int) -> str:
+    """The vote of the words before a name."""
+    near = text[max(0, s - 32) : s]
+    if _CTX_BEFORE.search(near):
+        return "+"
+    return "-" if _PLACE_BEFORE.search(near) else "0"
+
+
+def _titled(text: str, s: int) -> str:
+    """The vote of a title right before a name."""
+    return "+" if _TITLE_BEFORE.search(text[max(0, s - 12) : s]) else "0"
+
+
+def _after(text: str, e: int) -> str:
+    """The vote of the words behind a name."""
+    near = text[e : e + 24]
+    return "-" if _THING_AFTER.match(near) else "+" if _PERSON_AFTER.match(near) else "0"
+
+
 def fit(counts: list[tuple[str, str, int]], rounds: int = 60) -> dict[tuple[str, str], float]:
     """Probability of each (kind, votes) pattern, from pattern counts alone.
 
@@ -311,6 +378,8 @@ def fit(counts: list[tuple[str, str, int]], rounds: int = 60) -> dict[tuple[str,
                     if value == 1:
                         a = max(a, b)
                     if value == 2:
+                        if kind == "name" and j == 0:
+                            a = max(a, DOUBT)
                         b = max(a, b)
                     lp[hit] += math.log(a)
                     lq[hit] += math.log(b)
@@ -319,7 +388,7 @@ def fit(counts: list[tuple[str, str, int]], rounds: int = 60) -> dict[tuple[str,
                 break
             post = new
         f = np.concatenate([np.ones((len(rows), 1)), (x == 1).astype(float), (x == 2).astype(float)], axis=1)
-        w, weight = np.zeros(f.shape[1]), n / n.sum()
+        w, weight = np.zeros(f.shape[1]), np.sqrt(n) / np.sqrt(n).sum()  # rare patterns count for more than their rows
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
             grad = f.T @ (weight * (p - post)) + 1e-4 * w
@@ -338,27 +407,65 @@ def _texts(df: DataFrame, tbl: str, id_col: str, fields: list[str]) -> DataFrame
     return df.where(F.col(id_col).isNotNull()).select(F.lit(tbl).alias("tbl"), F.col(id_col).cast("bigint").alias("row_id"), parts).select("tbl", "row_id", "p.field", "p.text").where("text is not null and text <> ''")
 
 
-def find(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """(tbl, row_id, field, kind, start, end, p) of accepted spans in (tbl, row_id, field, text)."""
-    rows = gazetteer.where("name is not null").select("name", "name_part", "script").distinct().orderBy("name", "name_part").limit(MAX_NAMES).collect()
-    shared = texts.sparkSession.sparkContext.broadcast([(r["name"], r["name_part"], r["script"]) for r in rows])  # bounded by MAX_NAMES
+def _silent(kind: str, votes: str) -> bool:
+    """Whether no labeler but that of the letters' case votes for a candidate, so that it is counted and not written."""
+    return kind == "name" and len(votes) == LATIN_LABELERS and "+" not in votes[:-1] or kind in ("email", "address") and votes[0] == "-"
+
+
+LATIN_LABELERS = 7
+SPANS = "tbl string, row_id bigint, field string, start int, end int, kind string, votes string, n bigint"
+
+
+def _spans(texts: DataFrame, names, wanted: frozenset | None) -> DataFrame:
+    """Candidates of texts; without ``wanted`` silent ones as counts (null ``tbl``), else only those of its (kind, votes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(shared.value)
-        for b in batches:
-            tbl, row, field, text = (b.column(c).to_pylist() for c in ("tbl", "row_id", "field", "text"))
-            out = [(tbl[i], row[i], field[i], *c) for i, t in enumerate(text) for c in candidates(t, names)]
-            cols = list(zip(*out)) or [()] * 7
-            types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["tbl", "row_id", "field", "start", "end", "kind", "votes"])
+        from pyspark import TaskContext
 
-    found = cut(texts.mapInArrow(run, "tbl string, row_id bigint, field string, start int, end int, kind string, votes string").distinct())
+        pid, own = TaskContext.get().partitionId(), Names(names.value)
+        for no, b in enumerate(batches):
+            tbl, row, field, text = (b.column(c).to_pylist() for c in ("tbl", "row_id", "field", "text"))
+            out, silent = [], Counter()
+            for i, t in enumerate(text):
+                for c in candidates(t, own):
+                    if wanted is not None:
+                        if c[2:] in wanted:
+                            out.append((tbl[i], row[i], field[i], *c, 1))
+                    elif _silent(*c[2:]):
+                        silent[c[2:]] += 1
+                    else:
+                        out.append((tbl[i], row[i], field[i], *c, 1))
+            out += [(None, None, None, pid, no, kind, votes, n) for (kind, votes), n in silent.items()]
+            cols = list(zip(*out)) or [()] * 8
+            types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split(" ")[0] for x in SPANS.split(", ")])
+
+    return texts.mapInArrow(run, SPANS).distinct()
+
+
+def scored(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(tbl, row_id, field, kind, start, end, p) of candidates that a labeler votes for, or that are accepted."""
+    listed = gazetteer.where("name is not null").select("name", "name_part", "script").distinct()
+    rows = listed.limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"the gazetteer has more than {MAX_NAMES} names")
+    spark = texts.sparkSession
+    names = spark.sparkContext.broadcast(sorted((r["name"], r["name_part"] or "", r["script"] or "") for r in rows))  # bounded by MAX_NAMES
+    found = cut(_spans(texts, names, None))
     # At most three to the power of the labelers of patterns for each kind.
-    counts = [(r["kind"], r["votes"], r["n"]) for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()]
+    counts = [(r["kind"], r["votes"], r["n"]) for r in found.groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").collect()]
     table = fit(counts)
-    spark = texts.sparkSession
-    scores = spark.createDataFrame([(k, v, p) for (k, v), p in table.items()], "kind string, votes string, p double")
-    return found.join(bounded_broadcast(scores), ["kind", "votes"]).where("p >= 0.5").select("tbl", "row_id", "field", "kind", "start", "end", "p")
+    scores = F.broadcast(spark.createDataFrame([(k, v, p) for (k, v), p in table.items()], "kind string, votes string, p double"))
+    written = found.where("tbl is not null")
+    missing = frozenset(key for key, p in table.items() if p >= 0.5 and _silent(*key))
+    if missing:
+        written = written.unionByName(_spans(texts, names, missing))
+    return written.join(scores, ["kind", "votes"]).select("tbl", "row_id", "field", "kind", "start", "end", "p")
+
+
+def find(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(tbl, row_id, field, kind, start, end, p) of accepted spans in (tbl, row_id, field, text)."""
+    return scored(texts, gazetteer).where("p >= 0.5")
 
 
 def numbered(spans: DataFrame) -> DataFrame:
@@ -371,4 +478,4 @@ def mask(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(tbl, row_id, field, text) with each span replaced by a placeholder such as ``[EMAIL]``."""
     packed = spans.groupBy("tbl", "row_id", "field").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind")), asc=False).alias("spans"))  # of one text
     text: Column = F.expr("aggregate(spans, text, (t, s) -> concat(substring(t, 1, s.start), '[', upper(s.kind), ']', substring(t, s.end + 1, length(t))))")
-    return texts.distinct().join(packed, ["tbl", "row_id", "field"]).select("tbl", "row_id", "field", text.alias("text"))
+    return texts.join(packed, ["tbl", "row_id", "field"]).select("tbl", "row_id", "field", text.alias("text")).distinct()
