@@ -14,12 +14,13 @@ BOS, EOS = "<|begin_of_text|>", "<|end_of_text|>"
 
 
 def _content(t: Column) -> Column:
-    return X.collapse(F.coalesce(t["content"], F.lit("")))
+    return F.coalesce(t["content"], F.lit(""))
 
 
-def normal_contents(conv: Column) -> Column:
-    """The text of each turn in NFKC with white space collapsed."""
-    return F.transform(X.normal_forms(F.transform(conv, lambda t: F.coalesce(t["content"], F.lit(""))), "NFKC"), X.collapse)
+def clean_turns(conv: Column) -> Column:
+    """Turns (role, content) with contents in NFKC and white space collapsed; what the other functions here expect."""
+    texts = X.normal_forms(F.transform(conv, _content), "NFKC")
+    return F.zip_with(conv, texts, lambda t, c: F.struct(t["role"].alias("role"), X.collapse(c).alias("content")))
 
 
 def map_role(role: Column) -> Column:
@@ -47,7 +48,7 @@ def quality_score(conv: Column, language: Column) -> Column:
 
 
 def fingerprint(conv: Column) -> Column:
-    parts = F.zip_with(conv, normal_contents(conv), lambda t, c: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("::"), F.lower(c)))
+    parts = F.transform(conv, lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("::"), F.lower(_content(t))))
     return F.sha2(F.array_join(parts, "\n"), 256)
 
 
@@ -60,7 +61,7 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def is_valid(conv: Column) -> Column:
     """A system turn stands first, if at all."""
-    return ~F.exists(F.slice(conv, 2, 100_000), lambda t: F.coalesce(t["role"] == "system", F.lit(False)))
+    return ~F.exists(F.slice(conv, 2, F.greatest(F.size(conv), F.lit(1))), lambda t: F.coalesce(t["role"] == "system", F.lit(False)))
 
 
 def format_turns(conv: Column) -> Column:

@@ -23,7 +23,8 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _examples(spark, sf):
-    return _t(spark, sf, "instruction_examples").dropDuplicates(["id"])
+    e = _t(spark, sf, "instruction_examples").dropDuplicates(["id"])
+    return e.withColumn("conversation", C.clean_turns(F.col("conversation")))
 
 
 def instruction_quality(spark, sf):
@@ -187,9 +188,16 @@ QUERIES = {f.__name__: f for f in (
     section_labels, message_join, turn_ends, conversation_titles, used_memories, cascade_delete, partial_update, email_clashes, newest_conversations, request_violations, greeting_flags, memory_prompt, helpfulness_scores, critique_rows, preference_rows,
 )}
 
-_E = "(SELECT DISTINCT ON (id) * FROM instruction_examples)"
+# Examples with contents in NFKC and white space collapsed.
+_CLEAN = f"""WITH e0 AS (SELECT DISTINCT ON (id) * FROM instruction_examples),
+t0 AS (SELECT id, i, conversation[i].role AS role, coalesce(conversation[i].content, '') AS content FROM (SELECT *, unnest(range(1, len(conversation) + 1)) AS i FROM e0)),
+t1 AS ({S.nfkc_of('t0', 'id, i', 'content')}),
+e1 AS (SELECT id, list({{'role': role, 'content': {S.collapse('nfkc')}}} ORDER BY i) AS turns FROM t1 GROUP BY id),
+e AS (SELECT e0.* REPLACE (CASE WHEN len(e0.conversation) = 0 THEN [] ELSE turns END AS conversation) FROM e0 LEFT JOIN e1 USING (id))
+"""
+_E = "e"
 _M = "(SELECT DISTINCT * FROM memory_items)"
-_C = S.collapse("coalesce(t.content, '')")
+_C = "coalesce(t.content, '')"
 _CT = f"list_transform(conversation, lambda t: {_C})"
 _DET = f"CASE WHEN regexp_matches(blob0, '{X.ARABIC}') THEN CASE WHEN {S.any_of('blob0', X.DIALECT)} THEN 'ar-dialect' ELSE 'ar' END ELSE 'en' END"
 _ROLE = "CASE WHEN lower({0}) IN ('user', 'human') THEN 'human' WHEN lower({0}) = 'system' THEN 'system' WHEN lower({0}) = 'assistant' THEN 'assistant' END"
@@ -214,21 +222,21 @@ _TOK = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_\\x{{0600
 _QUERY = S.lit("How can students save water with the ledger?")
 
 SQL = {
-    "instruction_quality": f"""WITH a AS (SELECT id, language, conversation, array_to_string({_CT}, ' ') AS blob0 FROM {_E}),
+    "instruction_quality": f"""{_CLEAN}, a AS (SELECT id, language, conversation, array_to_string({_CT}, ' ') AS blob0 FROM {_E}),
 b AS (SELECT *, {_DET} AS det, len(list_filter(conversation, lambda t: t.role IN ('system', 'user', 'assistant') AND length({_C}) > 0)) AS valid,
   list_filter(conversation, lambda t: coalesce(t.role = 'assistant', FALSE)) AS ans FROM a)
 SELECT id, CASE WHEN coalesce(len(conversation), 0) = 0 THEN 0.0 ELSE greatest(0.0, least(1.0,
   0.35::DOUBLE * (valid / len(conversation)) + CASE WHEN coalesce(language, '') = det THEN 0.25::DOUBLE ELSE 0.12::DOUBLE END
   + 0.25::DOUBLE * least((coalesce(list_sum(list_transform(ans, lambda t: length({_C}))), 0) / greatest(len(ans), 1)) / 180.0::DOUBLE, 1.0::DOUBLE)
   + greatest(0.15::DOUBLE - 0.05::DOUBLE * ({' + '.join(f"contains(lower(blob0), '{r}')::INT" for r in C.RISKY)}), 0.0::DOUBLE))) END AS score FROM b""",
-    "conversation_fingerprints": f"SELECT id, sha256(array_to_string(list_transform(conversation, lambda t: coalesce(t.role, '') || '::' || lower({_C})), chr(10))) AS fp FROM {_E} WHERE len(conversation) > 0",
-    "conversation_exact_dedup": f"SELECT min(id) AS id, fp FROM (SELECT id, sha256(array_to_string(list_transform(conversation, lambda t: coalesce(t.role, '') || '::' || lower({_C})), chr(10))) AS fp FROM {_E} WHERE len(conversation) > 0) GROUP BY fp",
-    "conversation_checks": f"""WITH a AS (SELECT id, conversation, array_to_string({_CT}, ' ') AS blob0 FROM {_E} WHERE len(conversation) > 0)
+    "conversation_fingerprints": f"{_CLEAN}SELECT id, sha256(array_to_string(list_transform(conversation, lambda t: coalesce(t.role, '') || '::' || lower({_C})), chr(10))) AS fp FROM {_E} WHERE len(conversation) > 0",
+    "conversation_exact_dedup": f"{_CLEAN}SELECT min(id) AS id, fp FROM (SELECT id, sha256(array_to_string(list_transform(conversation, lambda t: coalesce(t.role, '') || '::' || lower({_C})), chr(10))) AS fp FROM {_E} WHERE len(conversation) > 0) GROUP BY fp",
+    "conversation_checks": f"""{_CLEAN}, a AS (SELECT id, conversation, array_to_string({_CT}, ' ') AS blob0 FROM {_E} WHERE len(conversation) > 0)
 SELECT id, len(conversation)::INT AS turns, len(list_filter(conversation[2:], lambda t: coalesce(t.role = 'system', FALSE))) = 0 AS valid,
   list_max(list_transform(range(len(conversation)), lambda i: CASE WHEN lower({S.strip('conversation[i + 1].role')}) = 'assistant' THEN i END))::INT AS last_assistant, least(len(conversation), 3)::INT AS tail, {_DET} AS detected FROM a""",
-    "conversation_format": f"SELECT id, md5({S.lit(C.BOS)} || chr(10) || array_to_string(list_transform(list_filter(conversation, lambda t: {_R} IS NOT NULL), lambda t: upper({_R}) || chr(10) || {_C} || chr(10) || {S.lit(C.END_TURN)}), chr(10)) || chr(10) || {S.lit(C.EOS)}) AS formatted FROM {_E} WHERE len(conversation) > 0",
-    "turn_usage": f"SELECT id, (i - 1)::INT AS turn_no, {_ROLE.format(S.strip('conversation[i].role'))} AS role, greatest(1, len({S.plain_words('''coalesce(conversation[i].content, '')''')}))::INT AS usage FROM (SELECT id, conversation, unnest(range(1, len(conversation) + 1)) AS i FROM {_E})",
-    "source_counts": f"SELECT lower(trim(source)) AS source, category, count(*) AS n FROM {_E} GROUP BY 1, 2",
+    "conversation_format": f"{_CLEAN}SELECT id, md5({S.lit(C.BOS)} || chr(10) || array_to_string(list_transform(list_filter(conversation, lambda t: {_R} IS NOT NULL), lambda t: upper({_R}) || chr(10) || {_C} || chr(10) || {S.lit(C.END_TURN)}), chr(10)) || chr(10) || {S.lit(C.EOS)}) AS formatted FROM {_E} WHERE len(conversation) > 0",
+    "turn_usage": f"{_CLEAN}SELECT id, (i - 1)::INT AS turn_no, {_ROLE.format(S.strip('conversation[i].role'))} AS role, greatest(1, len({S.plain_words('''coalesce(conversation[i].content, '')''')}))::INT AS usage FROM (SELECT id, conversation, unnest(range(1, len(conversation) + 1)) AS i FROM {_E})",
+    "source_counts": f"{_CLEAN}SELECT lower(trim(source)) AS source, category, count(*) AS n FROM {_E} GROUP BY 1, 2",
     "memory_page": f"SELECT id, user_id, (SELECT count(*) FROM {_M}) AS total FROM {_M} ORDER BY updated_at DESC NULLS LAST, id DESC LIMIT 20 OFFSET 40",
     "memory_like_search": f"SELECT id FROM {_M} WHERE question ILIKE '%LEDGER%water%' OR answer ILIKE '%LEDGER%water%' OR tags_csv ILIKE '%LEDGER%water%'",
     "memory_topk": f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC NULLS LAST, id DESC) AS r,

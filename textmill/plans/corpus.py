@@ -28,7 +28,7 @@ def corpus_clean(spark, sf):
 
 
 def tokenizer_normalize(spark, sf):
-    return _docs(spark, sf).where("lang in ('ar', 'ar-dialect')").select("doc_id", X.tokenizer_arabic(F.col("text")).alias("normalized"))
+    return _docs(spark, sf).where("lang in ('ar', 'ar-dialect')").select("doc_id", X.tokenizer_arabic(X.normal_form(F.col("text"), "NFC")).alias("normalized"))
 
 
 def _stats(d, key):
@@ -169,8 +169,10 @@ _BUCKETS = f"SELECT doc_id, {_BUCKET} AS bucket, strlen({_T}) AS bytes FROM docu
 
 SQL = {
     "corpus_normalize": "SELECT CAST(doc_id AS VARCHAR) AS id, source, coalesce(nullif(lang, ''), 'unknown') AS language, title, host AS url, CAST(length(text) AS INT) AS chars FROM documents WHERE text <> ''",
-    "corpus_clean": f"SELECT doc_id, CASE WHEN lang = 'ar' THEN {S.collapse(f'''regexp_replace({_CLEAN}, '([،؛؟!,:;.])', ' \\1 ', 'g')''')} ELSE {S.collapse(f'''regexp_replace({_T}, '<[^>]+>', ' ', 'g')''')} END AS cleaned FROM documents",
-    "tokenizer_normalize": "SELECT doc_id, " + S.collapse("regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x{0610}-\\x{061A}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06ED}]', '', 'g'), '\\x{0640}', '', 'g'), '([،؛؟٪٬٫۔])', ' \\1 ', 'g')") + " AS normalized FROM documents WHERE lang IN ('ar', 'ar-dialect')",
+    "corpus_clean": f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents), a AS ({S.nfkc_of('d', 'doc_id', 'text')}),
+m AS (SELECT doc_id, {S.collapse("regexp_replace(text, '<[^>]+>', ' ', 'g')")} AS text FROM d WHERE lang IS DISTINCT FROM 'ar'), u AS ({S.unescaped('m', 'doc_id', 'text')})
+SELECT a.doc_id, CASE WHEN lang = 'ar' THEN {S.collapse(f'''regexp_replace({_CLEAN.replace("coalesce(text, '')", "nfkc")}, '([،؛؟!,:;.])', ' \\1 ', 'g')''')} ELSE {S.collapse('nfc_normalize(plain)')} END AS cleaned FROM a LEFT JOIN u USING (doc_id)""",
+    "tokenizer_normalize": "SELECT doc_id, " + S.collapse("regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x{0610}-\\x{061A}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06ED}]', '', 'g'), '\\x{0640}', '', 'g'), '([،؛؟٪٬٫۔])', ' \\1 ', 'g')") + " AS normalized FROM documents WHERE lang IN ('ar', 'ar-dialect')",
     "corpus_stats_by_language": f"SELECT coalesce(lang, 'unknown') AS key, {_STAT} GROUP BY 1",
     "corpus_stats_by_source": f"SELECT coalesce(source, 'unknown') AS key, {_STAT} GROUP BY 1",
     "quality_measures": _Q + " SELECT doc_id, length, top_char, words, unique_words, symbols FROM m",
@@ -196,7 +198,7 @@ SELECT id, class_id, coalesce(links, 0) AS links FROM b LEFT JOIN l USING (class
 y AS (SELECT bucket, step - 1 AS step, row_number() OVER (PARTITION BY bucket ORDER BY step) - 1 AS nth, count(*) OVER (PARTITION BY bucket) AS each FROM g WHERE bucket IS NOT NULL),
 d AS (SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS k FROM ({_BUCKETS}))
 SELECT doc_id, d.bucket, row_number() OVER (ORDER BY (k // each) * 1000 + step, doc_id) - 1 AS slot FROM d JOIN y ON d.bucket = y.bucket AND d.k % y.each = y.nth""",
-    "shard_assignment": f"SELECT doc_id, before, CAST(before // 200000 AS INT) AS shard FROM (SELECT doc_id, bytes, CAST(coalesce(sum(bytes) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM ({_BUCKETS})) WHERE before + bytes <= 1500000",
+    "shard_assignment": f"SELECT doc_id, before, CAST(before // 268435456 AS INT) AS shard FROM (SELECT doc_id, bytes, CAST(coalesce(sum(bytes) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM ({_BUCKETS})) WHERE before + bytes <= 10737418240",
     "sequence_packing": _PACK + " SELECT * FROM s",
     "packed_samples": _PACK + " SELECT sample, count(*) AS segments, CAST(sum(stop - begin) AS BIGINT) AS tokens, min(doc_id) AS first_doc FROM s GROUP BY sample",
     "batch_padding": f"WITH l AS (SELECT doc_id, len({S.words(_T)}) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM documents), g AS (SELECT batch, max(n) AS width, sum(n) AS used, count(*) AS k FROM l GROUP BY batch) SELECT batch, width, CAST(width * k - used AS BIGINT) AS padding FROM g WHERE k = 16",
