@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from textmill.functions import text as X
 from textmill.operators.conversation import quality_score
 
-MAX_DEPTH = 64
-
 
 def turn(role: str, content: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), X.collapse(F.coalesce(content, F.lit(""))).alias("content"))
+    return F.struct(F.lit(role).alias("role"), X.collapse(X.normal_form(F.coalesce(content, F.lit("")), "NFKC")).alias("content"))
 
 
 def build_example(df: DataFrame, source: str, category: Column, run: str) -> DataFrame:
@@ -39,12 +37,13 @@ def from_alpaca(df: DataFrame, system: str, run: str) -> DataFrame:
     return build_example(rows, "arabic_alpaca", F.lit("C"), run)
 
 
-def flatten_trees(messages: DataFrame, system: str | None = None) -> DataFrame:
+def flatten_trees(messages: DataFrame, system: str | None = None, first: str | None = None) -> DataFrame:
     """Conversations from the root to each leaf of message trees (message_id, parent_id, text, role): (leaf_id, conversation).
 
     Blank messages are passed over; paths of fewer than two turns are dropped; messages
-    without a reachable root aren't found. Trees are walked level by level with one join
-    each, up to ``MAX_DEPTH`` levels.
+    without a reachable root aren't found. Without any root the first row (the smallest
+    ``message_id``, or ``first`` if given) is one. Trees are walked level by level with one
+    join each; a message has one parent, so the walk ends with the deepest leaf.
     """
     m = messages.select(F.col("message_id").alias("id"), F.coalesce("parent_id", F.lit("")).alias("parent"), F.coalesce("text", F.lit("")).alias("text"), F.lower(F.coalesce("role", F.lit(""))).alias("role"))
     t = F.when(F.length(X.strip(F.col("text"))) > 0, F.array(F.struct(F.when(F.col("role").contains("assist"), "assistant").otherwise("user").alias("role"), X.collapse(F.col("text")).alias("content")))).otherwise(F.expr("cast(array() as array<struct<role:string,content:string>>)"))
@@ -52,11 +51,15 @@ def flatten_trees(messages: DataFrame, system: str | None = None) -> DataFrame:
     from textmill.session import cut
 
     leaves = m.join(m.select(F.col("parent").alias("id")).distinct(), "id", "left_anti").select("id")
-    level = cut(m.where("parent = ''").select("id", F.col("own").alias("path")))
+    roots = m.where("parent = ''")
+    if roots.isEmpty():
+        roots = m.where(F.col("id") == F.lit(first)) if first is not None else m.join(F.broadcast(m.agg(F.min("id").alias("id"))), "id")  # one row
+    level = cut(roots.select("id", F.col("own").alias("path"), F.col("id").alias("root")))
     done = []
-    for _ in range(MAX_DEPTH):
+    while True:
         done.append(level.join(leaves, "id", "left_semi"))
-        level = cut(m.join(level.withColumnRenamed("id", "parent"), "parent").select("id", F.concat("path", "own").alias("path")))
+        # a message that leads back to its root is no new one
+        level = cut(m.join(level.withColumnRenamed("id", "parent"), "parent").where("id <> root").select("id", F.concat("path", "own").alias("path"), "root"))
         if level.isEmpty():
             break
     out = done[0]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import text as X
@@ -21,25 +25,77 @@ def word_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     return rows.select("id", "h").join(sets.select("h", "class_id"), "h").select("id", "class_id"), sets.select("class_id", "words")
 
 
+def _steps(n: Column, threshold: float) -> Column:
+    """A size class such that similar sets are of the same class or of neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
+
+
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, similarity) of classes, a < b, by an exact prefix-filter join.
 
     Each set is ordered from rare to frequent words; two sets that are similar enough
     share one of their first ``n - ceil(t n) + 1`` words. Frequent words hardly ever are
-    among these, which keeps the join small; lengths are compared before the sets.
+    among these, which keeps the join small. Words meet by size class, so that a word of
+    many short sets is split by their sizes; sets that are too short to differ in a word
+    and be similar all the same don't take part, being alone in their class.
     """
+    least = math.ceil(threshold / (1 - threshold) - 1e-9)  # n / (n + 1) >= t
     freq = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    ranked = sets.select("class_id", F.explode("words").alias("w")).join(freq, "w").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))  # of one set
+    long = sets.where(F.size("words") >= least)
+    ranked = long.select("class_id", F.explode("words").alias("w")).join(freq, "w").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))  # of one set
     n = F.size("o")
-    head = ranked.select("class_id", n.alias("n"), F.explode(F.slice("o", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))).alias("x")).select("class_id", "n", "x.w")
+    head = ranked.select("class_id", n.alias("n"), F.posexplode(F.slice("o", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))).alias("pos", "x")).select("class_id", "n", "pos", "x.w", _steps(F.col("n"), threshold).alias("g"))
     head = cut(head)
-    a, b = head.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "w"), head.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "w")
-    pairs = a.join(b, "w").where(f"a < b and na >= {threshold} * nb - 1e-9 and nb >= {threshold} * na - 1e-9").select("a", "b").distinct()
+    # the smaller set (by size, then id) looks in its own size class and in the next
+    a = head.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "w", F.explode(F.array("g", F.col("g") + 1)).alias("g"))
+    b = head.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "w", "g")
+    # what both sets can share from this word on, this one included, must be enough
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    near = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= need)
+    pairs = a.join(b, ["w", "g"]).where(((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return verified(pairs, sets, threshold)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) with their similarity, those of at least ``threshold``."""
     left, right = sets.select(F.col("class_id").alias("a"), F.col("words").alias("wa")), sets.select(F.col("class_id").alias("b"), F.col("words").alias("wb"))
     checked = pairs.join(left, "a").join(right, "b").withColumn("similarity", X.jaccard(F.col("wa"), F.col("wb"), 1.0))
     return checked.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def minhash_classes(sets: DataFrame, threshold: float, bands: int = 24, rows: int = 6) -> DataFrame:
+    """Pairs (a, b, similarity) of classes by MinHash signatures in bands, each candidate checked.
+
+    ``bands * rows`` permutations; at the defaults a pair of similarity .85 meets in some band
+    with probability .9999, one of .5 with .31. Signatures are made in Arrow batches.
+    """
+    rng = np.random.default_rng(13)
+    k = bands * rows
+    mul, add = rng.integers(1, 2**61, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**62, k, dtype=np.uint64)
+
+    @F.pandas_udf("array<bigint>")
+    def signature(s: pd.Series) -> pd.Series:
+        out = []
+        for h in s:
+            x = np.asarray(h, dtype=np.int64).view(np.uint64)
+            low = np.full(k, np.iinfo(np.uint64).max, dtype=np.uint64)
+            for i in range(0, len(x), 4096):  # whole sets, in pieces
+                y = x[i : i + 4096, None] * mul + add
+                low = np.minimum(low, (y ^ (y >> np.uint64(29))).min(axis=0))
+            out.append(low.view(np.int64).tolist())
+        return pd.Series(out)
+
+    least = math.ceil(threshold / (1 - threshold) - 1e-9)
+    sig = sets.where(F.size("words") >= least).select("class_id", F.size("words").alias("n"), signature(F.transform("words", lambda w: F.xxhash64(w))).alias("s"))
+    parts = F.array(*[F.xxhash64(F.lit(i), F.slice("s", i * rows + 1, rows)) for i in range(bands)])
+    keys = cut(sig.select("class_id", "n", F.explode(parts).alias("key")))
+    met = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    keys = keys.join(met, "key", "left_semi")
+    a, b = keys.select("key", F.col("class_id").alias("a"), F.col("n").alias("na")), keys.select("key", F.col("class_id").alias("b"), F.col("n").alias("nb"))
+    pairs = a.join(b, "key").where(f"a < b and na >= {threshold} * nb - 1e-9 and nb >= {threshold} * na - 1e-9").select("a", "b").distinct()
+    return verified(pairs, sets, threshold)
+
+
 def keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, kept): a node is dropped if a kept node before it is similar, in rounds until all are decided."""
     edges = cut(pairs.select("a", "b"))
@@ -55,10 +111,13 @@ def keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             return state
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.85) -> DataFrame:
-    """(id, class_id, links, kept): the class of equal word sets, how many other classes are similar, and whether the row stays."""
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.85, minhash: bool = False) -> DataFrame:
+    """(id, class_id, links, kept): the class of equal word sets, how many other classes are similar, and whether the row stays.
+
+    Pairs are found by the exact join, or by ``minhash``.
+    """
     member, sets = word_sets(df, id_col, text_col)
-    pairs = cut(similar_classes(sets, threshold))
+    pairs = cut((minhash_classes if minhash else similar_classes)(sets, threshold))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     kept = keep_first(sets.select(F.col("class_id").alias("id")), pairs).select(F.col("id").alias("class_id"), F.col("kept").alias("stays"))
     out = member.join(links, "class_id", "left").join(kept, "class_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +13,20 @@ from textmill.functions import text as X
 HARMFUL = ("bomb", "weapon", "kill", "murder", "explosive", "malware", "phishing", "steal password", "suicide", "harm yourself", "قنبلة", "سلاح", "قتل", "انتحار", "اختراق", "برمجية خبيثة")
 
 
-def top_char_share(text: Column) -> Column:
-    """Share of the most frequent character, spaces included."""
+@F.pandas_udf("double")
+def _top_char(s: pd.Series) -> pd.Series:
+    def share(t: str | None) -> float | None:
+        if not t:
+            return None if t is None else 0.0
+        code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return int(np.unique(code, return_counts=True)[1].max()) / len(code)
+
+    return s.map(share)
 
-    def of(t: Column) -> Column:
-        counts = F.transform(F.array_distinct(X.chars(t)), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit(""))))
-        return X.share(F.coalesce(F.array_max(counts), F.lit(0)), F.length(t))
 
-    return X.let(text, of)
+def top_char_share(text: Column) -> Column:
+    """Share of the most frequent character, spaces included; counted over code points, in Arrow batches."""
+    return _top_char(text)
 
 
 def quality_measures(text: Column) -> dict[str, Column]:
@@ -34,15 +42,24 @@ def quality_measures(text: Column) -> dict[str, Column]:
     }
 
 
-def quality_filter(text: Column, min_length: int = 30, max_repetition: float = 0.30, min_unique: float = 0.25, max_symbols: float = 0.35) -> Column:
-    """True for text to keep. Cheap tests come first; null text is dropped. Bounds themselves pass."""
+def quality_filter(text: Column, min_length: int = 30, max_repetition: float = 0.30, min_unique: float = 0.25, max_symbols: float = 0.35, probability: Column | None = None, min_probability: float = 0.80) -> Column:
+    """True for text to keep. Null text is dropped; bounds themselves pass.
+
+    Cheap tests run in the JVM; only what passes them has its characters counted.
+    ``probability`` is that of the expected language (``language.with_probability``); null
+    stands for no expected language and passes.
+    """
+    t = X.strip(F.coalesce(text, F.lit("")))
 
     def of(t: Column) -> Column:
         symbols = F.length(F.regexp_replace(t, rf"[\p{{L}}{X.WS_CLASS}]", ""))
         words = X.let(X.lower_words(t), lambda w: (F.size(w) >= 1) & (X.share(F.size(F.array_distinct(w)), F.size(w)) >= min_unique))
-        return (F.length(t) >= min_length) & (X.share(symbols, F.length(t)) <= max_symbols) & words & (top_char_share(t) <= max_repetition)
+        return (F.length(t) >= min_length) & (X.share(symbols, F.length(t)) <= max_symbols) & words
 
-    return X.let(X.strip(F.coalesce(text, F.lit(""))), of)
+    fine = X.let(t, of)
+    if probability is not None:
+        fine = fine & F.coalesce(probability >= min_probability, F.lit(True))
+    return fine & (F.coalesce(top_char_share(F.when(fine, t)), F.lit(0.0)) <= max_repetition)
 
 
 def looks_unusable(text: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import text as X
-from textmill.operators import dedup, quality, sequence
-from textmill.operators.conversation import keep_first
+from textmill.operators import dedup, language, quality, sequence
+from textmill.operators.conversation import clean_turns, keep_first
 from textmill.plans import sqltext as S
 from textmill.session import ship
 
@@ -54,6 +54,28 @@ def quality_filter_counts(spark, sf):
     return d.groupBy("lang").agg(F.count("*").alias("read"), F.count_if("keep").alias("kept"), F.count_if(~F.coalesce("keep", F.lit(False))).alias("dropped"))
 
 
+def _words(spark, sf):
+    samples = spark.read.parquet(f"{sf}/lang_samples.parquet")
+    return language.profile(samples, F.regexp_replace("lang", "-dialect$", ""))
+
+
+def _expected(spark, sf):
+    """Documents with the language they are expected to be in; only Arabic and English are tested."""
+    d = _docs(spark, sf).select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"), "text")
+    return language.with_probability(d, "text", F.when(F.col("lang").isin("ar", "en"), F.col("lang")), _words(spark, sf))
+
+
+def language_agreement(spark, sf):
+    """Whether each Arabic or English document is in its language with a probability of .8 at least."""
+    return _expected(spark, sf).where("probability is not null").select("doc_id", "lang", (F.col("probability") >= 0.80).alias("agrees"))
+
+
+def quality_filter_language(spark, sf):
+    """The quality filter with the test of the expected language."""
+    d = _expected(spark, sf).select("lang", quality.quality_filter(F.col("text"), probability=F.col("probability")).alias("keep"))
+    return d.groupBy("lang").agg(F.count("*").alias("read"), F.count_if("keep").alias("kept"), F.count_if(~F.coalesce("keep", F.lit(False))).alias("dropped"))
+
+
 def unusable_text(spark, sf):
     return _docs(spark, sf).select("doc_id", quality.looks_unusable(F.col("text")).alias("unusable"))
 
@@ -85,6 +107,22 @@ def near_dup_keep_first(spark, sf):
     return dedup.near_duplicates(_docs(spark, sf), "doc_id", "text", 0.85).select("id", "kept")
 
 
+def minhash_classes(spark, sf):
+    """Near-duplicates by MinHash bands; recall against the exact join is tested to be .9 at least."""
+    return dedup.near_duplicates(_docs(spark, sf), "doc_id", "text", 0.85, minhash=True).select("id", "class_id", "links", "kept")
+
+
+def _conversations(spark, sf):
+    e = spark.read.parquet(f"{sf}/instruction_examples.parquet").where("size(conversation) > 0").dropDuplicates(["id"])
+    return e.select("id", F.array_join(F.transform(clean_turns(F.col("conversation")), lambda t: t["content"]), " ").alias("text"))
+
+
+def conversation_near_dedup(spark, sf):
+    """Conversations of similar words (.9) whatever their roles; the first of each stays."""
+    ship(spark)
+    return dedup.near_duplicates(_conversations(spark, sf), "id", "text", 0.9).select("id", "class_id", "links", "kept")
+
+
 def hash_sample(spark, sf):
     """Bernoulli sample of a tenth of each source, salted by the source; a sampling operator."""
     return _docs(spark, sf).where(X.hash32(F.concat("source", F.lit("|13|"), F.col("doc_id").cast("string"))) < int(0.1 * 2**32)).select("doc_id", "source")
@@ -137,8 +175,8 @@ def word_frequency(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    corpus_normalize, corpus_clean, tokenizer_normalize, corpus_stats_by_language, corpus_stats_by_source, quality_measures, quality_filter_counts, unusable_text, content_flags, code_bucket, min_length_filter,
-    exact_dedup_documents, near_dup_classes, near_dup_keep_first, hash_sample, disjoint_workers, mixture_interleave, shard_assignment, sequence_packing, packed_samples, batch_padding, pretokenize_counts, word_frequency,
+    corpus_normalize, corpus_clean, tokenizer_normalize, corpus_stats_by_language, corpus_stats_by_source, quality_measures, quality_filter_counts, language_agreement, quality_filter_language, unusable_text, content_flags, code_bucket, min_length_filter,
+    exact_dedup_documents, near_dup_classes, near_dup_keep_first, minhash_classes, conversation_near_dedup, hash_sample, disjoint_workers, mixture_interleave, shard_assignment, sequence_packing, packed_samples, batch_padding, pretokenize_counts, word_frequency,
 )}
 
 _T = "coalesce(text, '')"
@@ -167,6 +205,33 @@ e AS (SELECT *, unnest(range(b // 256, (b + n - 1) // 256 + 1)) AS sample FROM p
 s AS (SELECT doc_id, sample, greatest(sample * 256 - b, 0) AS begin, least((sample + 1) * 256 - b, n) AS stop FROM e)"""
 _BUCKETS = f"SELECT doc_id, {_BUCKET} AS bucket, strlen({_T}) AS bytes FROM documents WHERE length({S.strip(_T)}) >= 20"
 
+_PROFILE = f"""wl AS (SELECT regexp_replace(lang, '-dialect$', '') AS lang, unnest({S.words('lower(text)')}) AS word FROM lang_samples WHERE lang IS NOT NULL),
+pf AS (SELECT lang, word, count(*) AS n FROM wl GROUP BY 1, 2), tt AS (SELECT lang, sum(n) + {language.SMOOTH}::DOUBLE * (SELECT count(DISTINCT word) FROM pf) AS total FROM pf GROUP BY 1),
+dw AS (SELECT doc_id, unnest({S.words(f'lower({_T})')}) AS word FROM documents WHERE lang IN ('ar', 'en')), dn AS (SELECT doc_id, word, count(*) AS k FROM dw WHERE word IN (SELECT word FROM pf) GROUP BY 1, 2),
+sc AS (SELECT doc_id, tt.lang, sum(k * ln((coalesce(pf.n, 0) + {language.SMOOTH}::DOUBLE) / total)) AS score FROM dn CROSS JOIN tt LEFT JOIN pf ON pf.lang = tt.lang AND pf.word = dn.word GROUP BY 1, 2),
+pr AS (SELECT doc_id, lang, exp(score - max(score) OVER (PARTITION BY doc_id)) / sum(exp(score - mx)) OVER (PARTITION BY doc_id) AS p FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS mx FROM sc)),
+ag AS (SELECT d.doc_id, d.lang, coalesce(p, 0) >= 0.80 AS agrees FROM documents d LEFT JOIN pr ON pr.doc_id = d.doc_id AND pr.lang = d.lang WHERE d.lang IN ('ar', 'en'))"""
+
+
+def _near(source: str, key: str, t: float, rounds: int) -> str:
+    """Classes, links and what stays, for (id, text) of ``source``; the rounds of keep-first are unrolled."""
+    sql = f"""a AS (SELECT {key} AS id, list_sort(list_distinct({S.words('lower(text)')})) AS w FROM {source}),
+b AS (SELECT *, min(id) OVER (PARTITION BY w) AS class_id FROM a WHERE len(w) > 0), c AS (SELECT DISTINCT class_id, w, len(w) AS n FROM b),
+f AS (SELECT w1, count(*) AS df FROM (SELECT unnest(w) AS w1 FROM c) GROUP BY 1),
+r AS (SELECT class_id, n, w1, row_number() OVER (PARTITION BY class_id ORDER BY df, w1) AS k FROM (SELECT class_id, n, unnest(w) AS w1 FROM c) JOIN f USING (w1)),
+h AS (SELECT class_id, n, w1 FROM r WHERE k <= n - ceil({t} * n - 1e-9) + 1),
+q AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM h x JOIN h y ON x.w1 = y.w1 AND x.class_id < y.class_id AND x.n >= {t} * y.n - 1e-9 AND y.n >= {t} * x.n - 1e-9),
+p AS (SELECT a, b FROM q JOIN c x ON x.class_id = a JOIN c y ON y.class_id = b WHERE {S.jaccard('x.w', 'y.w', 1.0)} >= {t}),
+l AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM p UNION ALL SELECT b FROM p) GROUP BY 1),
+k0 AS (SELECT class_id AS id, CAST(NULL AS BOOLEAN) AS stays FROM c)"""
+    for i in range(1, rounds + 1):
+        sql += f""",
+s{i} AS (SELECT id, CASE WHEN stays IS NOT NULL THEN stays WHEN id NOT IN (SELECT p.b FROM p JOIN k{i - 1} z ON z.id = p.a WHERE coalesce(z.stays, TRUE)) THEN TRUE END AS stays FROM k{i - 1}),
+k{i} AS (SELECT id, CASE WHEN stays IS NULL AND id IN (SELECT p.b FROM p JOIN s{i} z ON z.id = p.a WHERE z.stays) THEN FALSE ELSE stays END AS stays FROM s{i})"""
+    return sql + f""",
+out AS (SELECT b.id, b.class_id, coalesce(links, 0) AS links, coalesce(stays, error('undecided')) AND b.id = b.class_id AS kept FROM b LEFT JOIN l USING (class_id) JOIN k{rounds} z ON z.id = b.class_id)"""
+
+
 SQL = {
     "corpus_normalize": "SELECT CAST(doc_id AS VARCHAR) AS id, source, coalesce(nullif(lang, ''), 'unknown') AS language, title, host AS url, CAST(length(text) AS INT) AS chars FROM documents WHERE text <> ''",
     "corpus_clean": f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents), a AS ({S.nfkc_of('d', 'doc_id', 'text')}),
@@ -187,6 +252,12 @@ b AS (SELECT *, min(id) OVER (PARTITION BY w) AS class_id FROM a WHERE len(w) >
 p AS (SELECT x.class_id AS a, y.class_id AS b FROM c x JOIN c y ON x.class_id < y.class_id AND x.n >= 0.85 * y.n AND y.n >= 0.85 * x.n WHERE {S.jaccard('x.w', 'y.w', 1.0)} >= 0.85),
 l AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
 SELECT id, class_id, coalesce(links, 0) AS links FROM b LEFT JOIN l USING (class_id)""",
+    "near_dup_keep_first": f"WITH dt AS (SELECT doc_id, {_T} AS text FROM documents), {_near('dt', 'doc_id', 0.85, 8)} SELECT id, kept FROM out",
+    "conversation_near_dedup": f"""WITH e0 AS (SELECT DISTINCT ON (id) * FROM instruction_examples WHERE len(conversation) > 0),
+t0 AS (SELECT id, i, coalesce(conversation[i].content, '') AS content FROM (SELECT *, unnest(range(1, len(conversation) + 1)) AS i FROM e0)), t1 AS ({S.nfkc_of('t0', 'id, i', 'content')}),
+ct AS (SELECT id, string_agg({S.collapse('nfkc')}, ' ' ORDER BY i) AS text FROM t1 GROUP BY id), {_near('ct', 'id', 0.9, 8)} SELECT id, class_id, links, kept FROM out""",
+    "language_agreement": f"WITH {_PROFILE} SELECT * FROM ag",
+    "quality_filter_language": _Q + f", {_PROFILE} SELECT lang, count(*) AS read, count_if(k) AS kept, count_if(NOT k) AS dropped FROM (SELECT m.lang, length >= 30 AND words >= 1 AND symbols <= 0.35 AND unique_words >= 0.25 AND top_char <= 0.3 AND coalesce(agrees, TRUE) AS k FROM m LEFT JOIN ag USING (doc_id)) GROUP BY lang",
     "hash_sample": "SELECT doc_id, source FROM documents WHERE CAST('0x' || substr(md5(source || '|13|' || doc_id), 1, 8) AS BIGINT) < CAST(floor(0.1 * 4294967296) AS BIGINT)",
     "disjoint_workers": "SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4 AS worker, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1",
     "mixture_interleave": f"""WITH RECURSIVE g AS (
