@@ -93,21 +93,23 @@ def draw(a: Column, u: Column) -> Column:
     return F.least(end["i"], F.size(a) - 1)
 
 
+def last_token(values: str, mask: Column) -> Column:
+    """The element at the last unmasked place, the first if nothing is."""
+    return F.element_at(values, F.greatest(mask, F.lit(1)).cast("int"))
+
+
 def bleu(df: DataFrame, hypothesis: str, reference: str, order: int = 4) -> DataFrame:
     """Corpus BLEU on white-space and punctuation tokens, one row (bleu, matched lengths); clipped counts are summed in one pass."""
-    import re
+    pieces = lambda c: X.all_matches(F.coalesce(F.col(c), F.lit("")), rf"{X.WORD}|[^\p{{L}}\p{{N}}_{X.WS_CLASS}]")
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from collections import Counter
 
-        def cut(t):
-            return re.findall(r"\w+|[^\w\s]", t or "")
-
         for hs, rs in batches:
             rows = []
             for h, r in zip(hs, rs):
-                a, b = cut(h), cut(r)
+                a, b = list(h), list(r)
                 out = [len(a), len(b)]
                 for n in range(1, order + 1):
                     x, y = Counter(zip(*[a[i:] for i in range(n)])), Counter(zip(*[b[i:] for i in range(n)]))
@@ -115,7 +117,57 @@ def bleu(df: DataFrame, hypothesis: str, reference: str, order: int = 4) -> Data
                 rows.append(out)
             yield pd.Series(rows)
 
-    s = df.select(stats(hypothesis, reference).alias("s")).agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(2 + 2 * order)])
+    s = df.select(stats(pieces(hypothesis), pieces(reference)).alias("s")).agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(2 + 2 * order)])
     logs = sum((F.log(F.greatest(F.col(f"s{2 + 2 * n}"), F.lit(1e-9)) / F.greatest(F.col(f"s{3 + 2 * n}"), F.lit(1))) for n in range(order)), F.lit(0.0)) / order
     brief = F.when(F.col("s0") < F.col("s1"), F.exp(1 - F.col("s1") / F.greatest(F.col("s0"), F.lit(1)))).otherwise(1.0)
     return s.select((100 * brief * F.exp(logs)).alias("bleu"), F.col("s0").alias("hypothesis_tokens"), F.col("s1").alias("reference_tokens"))
+
+
+def chrf(df: DataFrame, hypothesis: str, reference: str, letters: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
+    """Corpus chrF++: the F score over n-grams of letters (white space left out) and of words, counted over all rows.
+
+    Orders that neither side has are left out of the mean. Counts are summed in one pass.
+    """
+    orders = letters + words
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from collections import Counter
+
+        def grams(seq, n: int) -> Counter:
+            return Counter(zip(*[seq[i:] for i in range(n)]))
+
+        for hs, rs in batches:
+            rows = []
+            for h, r in zip(hs, rs):
+                h, r = h or "", r or ""
+                out = []
+                for x, y, top in (("".join(h.split()), "".join(r.split()), letters), (_chrf_words(h), _chrf_words(r), words)):
+                    for n in range(1, top + 1):
+                        a, b = grams(x, n), grams(y, n)
+                        out += [sum(a.values()), sum(b.values()), sum((a & b).values())]
+                rows.append(out)
+            yield pd.Series(rows)
+
+    s = df.select(stats(hypothesis, reference).alias("s")).agg(*[F.coalesce(F.sum(F.col("s")[i]), F.lit(0)).alias(f"s{i}") for i in range(3 * orders)])
+    total, count = F.lit(0.0), F.lit(0)
+    for i in range(orders):
+        h, r, both = (F.col(f"s{3 * i + j}") for j in range(3))
+        p, q = both / F.greatest(h, F.lit(1)), both / F.greatest(r, F.lit(1))
+        f = F.when(p + q > 0, (1 + beta**2) * p * q / F.greatest(beta**2 * p + q, F.lit(1e-16))).otherwise(0.0)
+        used = (h > 0) & (r > 0)
+        total, count = total + F.when(used, f).otherwise(0.0), count + used.cast("int")
+    return s.select((100 * total / F.greatest(count, F.lit(1))).alias("chrf"))
+
+
+def _chrf_words(text: str) -> list[str]:
+    """Words with a punctuation mark at either end set off."""
+    out: list[str] = []
+    for w in text.split():
+        if len(w) > 1 and not w[-1].isalnum() and w[-1] != "_":
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and not w[0].isalnum() and w[0] != "_":
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
+    return out

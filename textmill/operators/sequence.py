@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.operators.prefix import prefix_sums
+from textmill.session import cut
 
 # Defaults of the shards of tokenizer training.
 SHARD_BYTES = 256 * 1024**2
@@ -79,50 +80,101 @@ def batches(df: DataFrame, order: list[str], size: int, drop_last: bool = False)
     return out.drop("row", "row_total")
 
 
-def with_history(df: DataFrame, key: str, order: str, n: int, block: int = 4_096) -> DataFrame:
+def with_history(df: DataFrame, key: str, order: list[str], n: int, block: int = 4_096) -> DataFrame:
     """Cut each key into blocks (``_block``) of rows in ``order``; each also gets the ``n`` rows before it, marked ``_old``."""
     if n > block:
         raise ValueError("a block must hold the history")
-    rows = prefix_sums(df, [key], [order], {"_at": F.lit(1)}).drop("_at_total")
+    rows = prefix_sums(df, [key], order, {"_at": F.lit(1)}).drop("_at_total")
     rows = rows.withColumns({"_block": F.floor(F.col("_at") / block), "_old": F.lit(False)})
     tail = rows.where(F.col("_at") % block >= block - n).withColumns({"_block": F.col("_block") + 1, "_old": F.lit(True)})
     return rows.unionByName(tail).drop("_at")
 
 
+Step = Callable[[list[float], float], tuple[list[float], bool]]
+
+
+def sequential(df: DataFrame, key: str, order: list[str], value: str, step: Step, result: str, warm: int = 256, block: int = 4_096) -> DataFrame:
+    """Fold each key in ``order`` with a small state: add ``result`` BOOLEAN, what ``step(state, value)`` says of each row.
+
+    A key of any size is spread over blocks. Each block starts from the state that the
+    ``warm`` rows before it lead to; where the block before ends in another state, the block
+    is done again from that one, until all states join. The result is that of one pass over
+    the whole key, and rows of a key that never pauses are still done by many tasks.
+    ``order`` must end in a unique column.
+    """
+    rows = cut(with_history(df, key, order, warm, block))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", _block bigint, `{result}` boolean, _start array<double>, _end array<double>"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        state: list[float] = [] if "_from" not in part or part["_from"].iloc[0] is None else [float(x) for x in part["_from"].iloc[0]]
+        for v in part.loc[part["_old"], value]:
+            state, _ = step(state, v)
+        begin, own, said = list(state), part[~part["_old"]], []
+        for v in own[value]:
+            state, hit = step(state, v)
+            said.append(hit)
+        none = [None] * max(len(own) - 1, 0)
+        return own[[*kinds, "_block"]].assign(**{result: said, "_start": ([begin] if said else []) + none, "_end": ([state] if said else []) + none})
+
+    done = cut(rows.groupBy(key, "_block").applyInPandas(run, schema))
+    while True:
+        w = Window.partitionBy(key).orderBy("_block")  # one row for each block
+        ends = done.where("_start is not null").select(key, "_block", "_start", "_end").withColumn("_from", F.lag("_end").over(w))
+        wrong = cut(ends.where("_from is not null and _from <> _start").select(key, "_block", "_from"))
+        if wrong.isEmpty():
+            return done.drop("_block", "_start", "_end")
+        again = rows.where("not _old").join(wrong, [key, "_block"]).groupBy(key, "_block").applyInPandas(run, schema)
+        done = cut(done.join(wrong.select(key, "_block"), [key, "_block"], "left_anti").unionByName(again))
+
+
+def accept_step(limit: int, seconds: int) -> Step:
+    """A sliding window in which only accepted requests count; the state is their times in microseconds."""
+
+    def step(held: list[float], t: float) -> tuple[list[float], bool]:
+        held = [h for h in held if h >= t - seconds * 1_000_000]
+        if len(held) < limit:
+            return [*held, float(t)], True
+        return held, False
+
+    return step
+
+
+def spike_step(times: float = 3.0, window: int = 50, least: int = 3) -> Step:
+    """A loss above ``times`` the median of the last ``window`` losses that were no spikes; the state is these losses."""
+
+    def step(seen: list[float], loss: float) -> tuple[list[float], bool]:
+        if loss is None or loss != loss:
+            return seen, False
+        if len(seen) >= least:
+            middle = median(seen)
+            if middle > 0 and loss > times * middle:
+                return seen, True
+        return [*seen, float(loss)][-window:], False
+
+    return step
+
+
 def accepted_requests(df: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
-    """Add ``accepted`` by a sliding window in which only accepted requests count.
+    """Add ``accepted`` by a sliding window in which only accepted requests count; null keys and times take no part."""
+    rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    return sequential(rows, key, ["_us", order], "_us", accept_step(limit, seconds), "accepted", warm=max(64, 4 * limit)).drop("_us")
+
+
+def loss_spikes(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Add ``spike``: losses far above the median of those before them, spikes left out of the history. Null losses are none and change nothing."""
+    return sequential(df, key, [order], value, spike_step(), "spike", warm=200)
+
+
+def in_window(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """Add ``in_window``: the rows of the key within ``seconds`` before each row, it and those of its time included.
 
-    Requests of a key more than ``seconds`` apart don't touch each other; the key is cut
-    at such gaps, so that a busy key is spread over many groups.
+    Keys are cut into buckets of the window's width; a row also stands in the next bucket,
+    where it is counted and not returned.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_us", us)
-    # the gap before each row: its own window is small, since rows are first cut by hour
-    w = Window.partitionBy(key, "_hour").orderBy("_us", order)
-    rows = rows.withColumn("_hour", F.floor(F.col("_us") / 3_600_000_000))
-    rows = rows.withColumn("_gap", F.col("_us") - F.lag("_us").over(w))
-    ends = rows.groupBy(key, "_hour").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-    prev = ends.select(F.col(key).alias("_k"), (F.col("_hour") + 1).alias("_h"), F.col("_hi").alias("_before"))
-    rows = rows.join(prev, (F.col(key) == F.col("_k")) & (F.col("_hour") == F.col("_h")), "left").drop("_k", "_h")
-    gap = F.coalesce(F.col("_gap"), F.col("_us") - F.col("_before"))
-    rows = rows.withColumn("_cut", F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0)).drop("_gap", "_before", "_hour")
-    rows = prefix_sums(rows, [key], ["_us", order], {"_seg": F.col("_cut")}).withColumn("_seg", F.col("_seg") + F.col("_cut")).drop("_seg_total", "_cut")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", accepted boolean"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, deque()
-        for part in batches:
-            out = []
-            for k, g, t in zip(part[key], part["_seg"], part["_us"]):
-                if (k, g) != at:
-                    at, held = (k, g), deque()
-                while held and held[0] < t - seconds * 1_000_000:
-                    held.popleft()
-                ok = len(held) < limit
-                if ok:
-                    held.append(t)
-                out.append(ok)
-            yield part.assign(accepted=out)
-
-    return rows.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", order).mapInPandas(fold, schema).drop("_us", "_seg")
+    rows = df.withColumn("_us", us).withColumn("_bucket", F.floor(F.col("_us") / (seconds * 1_000_000))).withColumn("_old", F.lit(False))
+    both = rows.unionByName(rows.withColumns({"_bucket": F.col("_bucket") + 1, "_old": F.lit(True)}))
+    w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    return both.withColumn("in_window", F.count("*").over(w)).where("not _old").drop("_us", "_bucket", "_old")

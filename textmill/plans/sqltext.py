@@ -25,6 +25,11 @@ def words(x: str) -> str:
     return rf"regexp_extract_all({x}, '{X.WORD}')"
 
 
+def tokens(x: str) -> str:
+    """Words and single other signs."""
+    return rf"regexp_extract_all({x}, '{X.WORD}|[^\p{{L}}\p{{N}}_{X.WS_CLASS}]')"
+
+
 def plain_words(x: str) -> str:
     return f"regexp_extract_all({x}, '{X.NON_WS}+')"
 
