@@ -48,7 +48,8 @@ def quality_score(conv: Column, language: Column) -> Column:
 
 
 def fingerprint(conv: Column) -> Column:
-    parts = F.transform(conv, lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("::"), F.lower(_content(t))))
+    """SHA-256 of roles and lower-cased contents; contents are normalised first."""
+    parts = F.transform(clean_turns(conv), lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("::"), F.lower(_content(t))))
     return F.sha2(F.array_join(parts, "\n"), 256)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.functions import text as X
 
@@ -13,7 +14,7 @@ from textmill.functions import text as X
 HARMFUL = ("bomb", "weapon", "kill", "murder", "explosive", "malware", "phishing", "steal password", "suicide", "harm yourself", "قنبلة", "سلاح", "قتل", "انتحار", "اختراق", "برمجية خبيثة")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _top_char(s: pd.Series) -> pd.Series:
     def share(t: str | None) -> float | None:
         if not t:

@@ -22,8 +22,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _raw_examples(spark, sf):
+    return _t(spark, sf, "instruction_examples").dropDuplicates(["id"])
+
+
 def _examples(spark, sf):
-    e = _t(spark, sf, "instruction_examples").dropDuplicates(["id"])
+    e = _raw_examples(spark, sf)
     return e.withColumn("conversation", C.clean_turns(F.col("conversation")))
 
 
@@ -32,7 +36,7 @@ def instruction_quality(spark, sf):
 
 
 def conversation_fingerprints(spark, sf):
-    return _examples(spark, sf).where("size(conversation) > 0").select("id", C.fingerprint(F.col("conversation")).alias("fp"))
+    return _raw_examples(spark, sf).where("size(conversation) > 0").select("id", C.fingerprint(F.col("conversation")).alias("fp"))
 
 
 def conversation_exact_dedup(spark, sf):
