@@ -16,6 +16,7 @@ PRINCIPLES = (
     ("privacy_and_security", "safety", "Protect privacy and security: refuse help with credential theft, doxxing, malware, or unauthorized access.", "احمِ الخصوصية والأمن: ارفض المساعدة في سرقة الحسابات أو التشهير بالمعلومات الشخصية أو البرمجيات الخبيثة أو الوصول غير المصرّح به."),
     ("safe_alternatives", "helpfulness", "When refusing harmful requests, explain briefly and offer safe, constructive alternatives.", "عند رفض الطلبات الضارة، اشرح السبب بإيجاز وقدّم بدائل آمنة وبنّاءة."),
 )
+# Markers of explanations and doubts, refusals, findings and candidates.
 EXPLAINS = ("because", "for example", "خطوات", "مثال")
 UNSURE = ("i'm not sure", "i don't know", "غير متأكد")
 REFUSAL = "I can’t help with harmful or illegal instructions. I can help with safe alternatives, prevention, or legal learning resources.\nلا أستطيع المساعدة في التعليمات الضارة أو غير القانونية، لكن يمكنني تقديم بدائل آمنة وموارد تعليمية قانونية."
@@ -34,6 +35,30 @@ def principles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRINCIPLES, "principle_id string, category string, english string, arabic string")
 
 
+def bilingual(english: Column, arabic: Column) -> Column:
+    return F.concat_ws(" / ", english, arabic)
+
+
+def subset(rows: DataFrame, *categories: str) -> DataFrame:
+    """The principles of some categories."""
+    return rows.where(F.col("category").isin(*categories))
+
+
+def lookup(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with their principle; an id that isn't known is an error."""
+    found = rows.join(F.broadcast(known.withColumn("_known", F.lit(True))), "principle_id", "left")  # five rows
+    name = F.when(F.col("_known"), F.col("principle_id")).otherwise(F.raise_error(F.concat(F.lit("no principle "), F.coalesce("principle_id", F.lit("null")))))
+    return found.withColumn("principle_id", name).drop("_known")
+
+
+def constitutional_examples(prompts: DataFrame) -> DataFrame:
+    """``critique_rows`` as instruction data (category E); rows without a prompt or response are dropped."""
+    from textmill.operators.convert import turn
+
+    rows = critique_rows(prompts).where(F.length(X.strip(F.col("prompt"))) > 0).where("response <> ''")
+    return rows.withColumns({"category": F.lit("E"), "conversation": F.array(turn("user", F.col("prompt")), turn("assistant", F.col("response")))})
+
+
 def _any(c: Column, parts: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in parts:
@@ -80,13 +105,20 @@ def revision(prompt: Column, response: Column, fine: Column) -> Column:
 
 
 def critique_rows(prompts: DataFrame) -> DataFrame:
-    """Prompts times principles: (prompt, principle_id, response, critique, language, scores). The five principles are broadcast."""
-    rows = prompts.crossJoin(F.broadcast(principles(prompts.sparkSession)))
+    """Prompts times principles: (prompt, principle_id, response, critique, language, scores).
+
+    What depends on the prompt alone is worked out once for it, before the five principles,
+    which are broadcast, are joined.
+    """
     p, cand = F.col("prompt"), F.lit(CANDIDATE)
-    note = critique(p, cand, F.col("principle_id"), F.col("english"), F.col("arabic"))
-    fine = F.array_contains(critique_findings(p, cand), NO_VIOLATION)
-    rows = rows.withColumns({"critique": note, "response": revision(p, cand, fine), "language": F.when(F.coalesce(p.rlike(X.ARABIC), F.lit(False)), "ar").otherwise("en")})
-    return rows.select("prompt", "principle_id", "response", "critique", "language", helpfulness(F.col("response")).alias("helpful"), harmlessness(p, F.col("response")).alias("harmless"))
+    found = critique_findings(p, cand)
+    rows = prompts.select("prompt", found.alias("_found"), F.when(F.coalesce(p.rlike(X.ARABIC), F.lit(False)), "ar").otherwise("en").alias("language"))
+    rows = rows.withColumn("response", revision(p, cand, F.array_contains("_found", NO_VIOLATION)))
+    rows = rows.withColumns({"helpful": helpfulness(F.col("response")), "harmless": harmlessness(p, F.col("response")), "_tail": F.concat(F.lit("\n\nPrompt:\n"), p, F.lit("\n\nResponse under review:\n"), cand, F.lit("\n\nCritique:\n- "), F.array_join("_found", "\n- "))})
+    rows = rows.repartition("prompt")  # so that the work above isn't done again for each principle
+    rows = rows.crossJoin(F.broadcast(principles(prompts.sparkSession)))
+    note = F.concat(F.lit("Principle ("), "principle_id", F.lit("):\nEN: "), "english", F.lit("\nAR: "), "arabic", "_tail")
+    return rows.select("prompt", "principle_id", "response", note.alias("critique"), "language", "helpful", "harmless")
 
 
 def preference_rows(prompts: DataFrame) -> DataFrame:

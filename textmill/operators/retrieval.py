@@ -72,11 +72,13 @@ def upsert(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return rows.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def append_rows(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Append rows with keys behind the largest."""
+def append_rows(rows: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Append rows with keys behind the largest, in ``order`` (that of the rows if not given)."""
     top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = prefix_sums(new.withColumn("_o", F.monotonically_increasing_id()), [], ["_o"], {"_i": F.lit(1)}).drop("_i_total", "_o")
-    return rows.unionByName(numbered.crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_i") + 1).drop("_top", "_i"), allowMissingColumns=True)
+    if order is None:
+        new, order = new.withColumn("_o", F.monotonically_increasing_id()), ["_o"]
+    numbered = prefix_sums(new, [], order, {"_i": F.lit(1)}).drop("_i_total", "_o")
+    return rows.unionByName(numbered.crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_i") + 1).drop("_top", "_i"), allowMissingColumns=True)  # one row
 
 
 def add_missing(df: DataFrame, column: str, kind: str) -> DataFrame:

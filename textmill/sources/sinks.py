@@ -43,7 +43,7 @@ def sse(event: Column, payload: Column) -> Column:
 def parse_sse(stream: Column) -> Column:
     """The JSON payloads of a stream of events; what isn't JSON is ignored."""
     frames = F.filter(F.flatten(F.transform(F.split(stream, "\n\n"), lambda f: F.split(f, "\n"))), lambda x: x.startswith("data: "))
-    return F.filter(F.transform(frames, lambda x: F.substring(x, 7, 1_000_000)), lambda x: F.get_json_object(x, "$").isNotNull())
+    return F.filter(F.transform(frames, lambda x: F.substring(x, 7, 2**31 - 1)), lambda x: F.get_json_object(x, "$").isNotNull() & x.startswith("{"))
 
 
 def report(df: DataFrame, folder: str) -> tuple[Path, Path]:
