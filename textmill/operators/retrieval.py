@@ -83,3 +83,8 @@ def append_rows(rows: DataFrame, new: DataFrame, key: str, order: list[str] | No
 
 def add_missing(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df if column in df.columns else df.withColumn(column, F.lit(None).cast(kind))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Two maps as one; entries of the second win."""
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)

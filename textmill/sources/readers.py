@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +39,34 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return lines.where(F.col("value").rlike(r"^\s*\{") & F.expr("try_parse_json(value) is not null")).select(row.alias("r"), F.col("_metadata.file_name").alias("file_name")).select("r.*", "file_name")
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, kind) of the lines that a tolerant reader leaves out: malformed ones, and JSON that is no object."""
+    lines = spark.read.text(path).where(F.length(X.strip(F.col("value"))) > 0)
+    fine = F.expr("try_parse_json(value) is not null")
+    return lines.where(~(F.col("value").rlike(r"^\s*\{") & fine)).select("value", F.when(fine, "no object").otherwise("malformed").alias("kind"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of the lines of text files in (file, line) order, blank ones left out.
+
+    Lines are counted by part of a file; what stands before a part is added up over one row
+    for each part.
+    """
+    from pyspark.sql import Window
+
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")).where(F.length(X.strip(F.col("value"))) > 0)
+    sizes = rows.groupBy("file", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part of a file
+    starts = sizes.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    w = Window.partitionBy("file", "part").orderBy("at")
+    return rows.withColumn("k", F.row_number().over(w) - 1).join(starts, ["file", "part"]).select((F.col("start") + F.col("k")).alias("line_no"), "value")
+
+
+def lines_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The lines with the numbers in ``wanted`` (line_no)."""
+    return numbered_lines(spark, path).join(wanted.select("line_no").distinct(), "line_no").select("line_no", "value")
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Records of a ``.json`` file (a list, an object with ``data``, or one object) or of a ``.jsonl`` file; other suffixes have none."""
     if path.endswith(".jsonl"):
@@ -89,7 +116,7 @@ def load_all(spark: SparkSession, root: str, names: Sequence[str] | None = None)
     out, status = {}, []
     for name in names or [c[0] for c in CATALOG]:
         try:
-            out[name] = spark.read.parquet(str(Path(root) / f"{name}.parquet"))
+            out[name] = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
             status.append((name, "ok", None))
         except Exception as e:  # noqa: BLE001
             status.append((name, "error", str(e).split("\n")[0]))
@@ -131,8 +158,18 @@ def parallel_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def read_table_url(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a relational store, by JDBC."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    """A table of a relational store, by JDBC.
+
+    Without ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` one task
+    reads it all; a column without the rest gets its bounds from the store.
+    """
+    reader = spark.read.format("jdbc").option("url", url)
+    column = options.get("partitionColumn")
+    if column and "lowerBound" not in options:
+        low, high = reader.options(**{k: v for k, v in options.items() if k != "partitionColumn"}).option("query", f"select min({column}) as low, max({column}) as high from {table}").load().first()
+        options |= {"lowerBound": str(low or 0), "upperBound": str((high or 0) + 1)}
+        options.setdefault("numPartitions", str(2 * spark.sparkContext.defaultParallelism))
+    return reader.options(dbtable=table, **options).load()
 
 
 def merge_config(shared: dict, stage: dict) -> dict:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators.retrieval import upsert
@@ -17,16 +18,26 @@ def write_jsonl(df: DataFrame, path: str, by: str | None = None, mode: str = "ov
     (w.partitionBy(by) if by else w).json(path)
 
 
+def write_counted(df: DataFrame, path: str, by: str | None = None) -> int:
+    """Write JSON lines and return the number of rows, counted while they are written."""
+    seen = Observation()
+    write_jsonl(df.observe(seen, F.count(F.lit(1)).alias("n")), path, by)
+    return int(seen.get["n"])
+
+
 def write_shards(df: DataFrame, path: str, text: str = "text", shard: str = "shard") -> None:
     """One folder of text for each shard; newlines within a record become spaces."""
     df.select(F.regexp_replace(text, r"[\r\n]+", " ").alias("value"), shard).repartition(shard).write.mode("overwrite").partitionBy(shard).text(path)
 
 
 def write_manifest(spark: SparkSession, path: str, new: DataFrame, key: str = "name") -> DataFrame:
-    """Upsert rows into a manifest table; one that is missing or can't be read is made anew."""
+    """Upsert rows into a manifest table; one that is missing or holds no readable rows is made anew, any other error is raised."""
     try:
-        old = spark.createDataFrame(spark.read.json(path).collect(), new.schema)  # a row for each dataset
-    except Exception:  # noqa: BLE001
+        old = spark.read.schema(new.schema).option("mode", "DROPMALFORMED").json(path)
+        old = spark.createDataFrame(old.collect(), new.schema)  # a row for each dataset
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         old = spark.createDataFrame([], new.schema)
     out = upsert(old, new, key)
     rows = out.collect()
@@ -64,3 +75,16 @@ def stage_result(folder: str, stage: str, result: dict) -> Path:
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(json.dumps(result, ensure_ascii=False, indent=2, default=str))
     return path
+
+
+def tokenizer_metadata(folder: str, vocabulary: str, special: list[tuple[str, int]], size: int) -> Path:
+    """What a tokenizer is made of, as a JSON file: its vocabulary, its size and its special tokens."""
+    path = Path(folder) / "tokenizer_metadata.json"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps({"vocabulary": vocabulary, "vocab_size": size, "special_tokens": dict(special)}, ensure_ascii=False, indent=2))
+    return path
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Append rows to a log of JSON lines."""
+    write_jsonl(df, path, mode="append")
