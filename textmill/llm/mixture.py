@@ -24,6 +24,13 @@ from textmill.session import bounded_broadcast, cut, shuffle_partitions
 
 MAX_SOURCES = 10_000
 SLOPE = 0.8
+FILLS = 4  # rounds of filling; each leaves less than one document of the round before
+
+
+def wanted(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Documents of a source with a target; for what is dear to work out for each document."""
+    t = targets.where("target_share > 0 and max_repeats > 0").select(F.lower(F.trim("source")).alias("_s")).where("_s is not null").distinct()
+    return docs.join(bounded_broadcast(t, MAX_SOURCES), F.lower(F.trim(docs["source"])) == F.col("_s"), "left_semi")
 
 
 def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -44,6 +51,11 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return p.select("source", "target_share", "max_repeats", "available", "demand", "passes", "rest", "slope")
 
 
+def _gaps(run: DataFrame) -> DataFrame:
+    """(source, gap): the tokens of the last pass that taken documents leave open; one row for each source."""
+    return run.groupBy("source").agg(F.max("rest").alias("r"), F.sum(F.when(F.col("inside"), F.col("tokens")).otherwise(0)).alias("s")).select("source", (F.col("r") - F.col("s")).alias("gap"))
+
+
 def mix(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mix (doc_id, source, tokens).
 
@@ -56,13 +68,25 @@ def mix(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = bounded_broadcast(wanted, MAX_SOURCES)
     run = prefix_sums(docs.join(p.select("source"), "source", "left_semi").withColumn("h", F.xxhash64("doc_id")), ["source"], ["h", "doc_id"], {"before": F.col("tokens")})
     run = cut(run.drop("before_total").join(p, "source").withColumn("inside", F.col("before") + F.col("tokens") <= F.col("rest")))
-    # what the whole documents of the last pass leave open goes to the one document that fits it best
-    gap = run.groupBy("source").agg(F.max("rest").alias("g_rest"), F.sum(F.when(F.col("inside"), F.col("tokens")).otherwise(0)).alias("g_sum")).select("source", (F.col("g_rest") - F.col("g_sum")).alias("gap"))
-    last = run.where("not inside").join(bounded_broadcast(gap, MAX_SOURCES), "source").where("abs(tokens - gap) < gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")).alias("miss"), "doc_id")).alias("b")).select("source", F.col("b.doc_id").alias("last_id"))
+    run = run.withColumn("fill", F.lit(False))
+    # what the whole documents of the last pass leave open is filled by further ones that fit, in the same order
+    for _ in range(FILLS):
+        left = run.where("not inside").join(bounded_broadcast(_gaps(run), MAX_SOURCES), "source").where("tokens <= gap").select("source", "h", "doc_id", "tokens", "gap")
+        if left.isEmpty():
+            break
+        more = prefix_sums(left, ["source"], ["h", "doc_id"], {"b": F.col("tokens")}).where("b + tokens <= gap").select("doc_id", F.lit(True).alias("_more"))
+        hit = F.col("_more").isNotNull()
+        run = cut(run.join(more, "doc_id", "left").withColumns({"inside": F.col("inside") | hit, "fill": F.col("fill") | hit}).drop("_more"))
+    # and the rest by the one document that comes nearest
+    last = run.where("not inside").join(bounded_broadcast(_gaps(run), MAX_SOURCES), "source").where("abs(tokens - gap) < gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")).alias("miss"), "doc_id")).alias("b")).select("source", F.col("b.doc_id").alias("last_id"))
     run = run.join(bounded_broadcast(last, MAX_SOURCES), "source", "left")
-    taken = F.col("passes") + (F.col("inside") | F.coalesce(F.col("doc_id") == F.col("last_id"), F.lit(False))).cast("bigint")
+    final = F.coalesce(F.col("doc_id") == F.col("last_id"), F.lit(False))
+    run = run.withColumn("fill", F.col("fill") | final)
+    taken = F.col("passes") + (F.col("inside") | final).cast("bigint")
     rows = run.withColumn("taken", taken.cast("int")).where("taken > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("taken") - 1)))
-    u = F.least((F.col("repeat_no") * F.col("available") + F.col("before") + F.col("tokens") / 2) / F.col("demand"), F.lit(1.0))
+    # documents that fill a gap stand anywhere in their source's run
+    anywhere = (F.pmod(F.xxhash64(F.lit("fill"), "doc_id"), F.lit(1 << 32)) + 0.5) / float(1 << 32)
+    u = F.when(F.col("fill") & (F.col("repeat_no") == F.col("passes")), anywhere).otherwise(F.least((F.col("repeat_no") * F.col("available") + F.col("before") + F.col("tokens") / 2) / F.col("demand"), F.lit(1.0)))
     a = F.col("slope")
     position = F.when(F.abs(a) < 1e-9, u).otherwise((-(1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * u)) / (2 * a))
     rows = rows.select("doc_id", "source", "repeat_no", "tokens", position.alias("position"))

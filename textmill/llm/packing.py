@@ -125,6 +125,8 @@ def pack(docs: DataFrame, limits: DataFrame) -> DataFrame:
     split document from 0 and ``container`` is unique within its limit.
     """
     spark = docs.sparkSession
+    if limits.count() > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits: each document is placed once for each")
     limits = bounded_broadcast(limits.where("limit_id is not null and capacity_tokens > 0").select(F.col("limit_id").cast("int").alias("limit_id"), F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct(), MAX_LIMITS)
     # one row for each limit and document, without texts
     docs = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
@@ -168,3 +170,19 @@ def fills(packed: DataFrame, limits: DataFrame) -> DataFrame:
     caps = bounded_broadcast(limits.select(F.col("limit_id").cast("int").alias("limit_id"), F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct(), MAX_LIMITS)
     out = packed.groupBy("limit_id", "container").agg(F.count("*").alias("items"), F.sum("size").alias("used"))
     return out.join(caps, "limit_id").withColumn("fill", F.col("used") / F.col("capacity"))
+
+
+def invariants(packed: DataFrame, docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """(limit_id, documents, torn, overfull, close) of a packing: what must hold whatever the containers are.
+
+    ``torn`` counts documents that aren't placed with all their tokens, or in more parts
+    than their size needs; ``close`` tells whether there are at most a twentieth and two more
+    containers than all tokens fill.
+    """
+    caps = bounded_broadcast(limits.select(F.col("limit_id").cast("int").alias("limit_id"), F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct(), MAX_LIMITS)
+    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+    placed = packed.groupBy("limit_id", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("parts")).join(sizes, "doc_id").join(caps, "limit_id")
+    whole = (F.col("size") == F.col("tokens")) & (F.col("parts") == F.greatest(F.ceil(F.col("tokens") / F.col("capacity")), F.lit(1)))
+    a = placed.groupBy("limit_id").agg(F.count("*").alias("documents"), F.count_if(~whole).alias("torn"), F.sum("tokens").alias("tokens"))
+    b = fills(packed, limits).groupBy("limit_id", "capacity").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), F.count("*").alias("containers"))
+    return a.join(b, "limit_id").select("limit_id", "documents", "torn", "overfull", (F.col("containers") <= 1.05 * F.col("tokens") / F.col("capacity") + 2).alias("close"))

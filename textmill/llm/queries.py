@@ -110,6 +110,11 @@ def _sizes(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return tokens.with_tokens(_t(spark, sf, "documents").select(*columns, "text"))
 
 
+def _wanted_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the documents whose source has a target; the texts of others aren't counted."""
+    return tokens.with_tokens(mixture.wanted(_t(spark, sf, "documents").select("doc_id", "source", "text"), _t(spark, sf, "mix_targets")))
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     """The container of each document, or part of a document above the capacity, for each limit."""
     return packing.pack(_sizes(spark, sf, "doc_id"), _t(spark, sf, "pack_limits"))
@@ -122,11 +127,24 @@ def p8_fills(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Chosen documents with their repeats, by position in the run."""
-    return mixture.mix(_sizes(spark, sf, "doc_id", "source"), _t(spark, sf, "mix_targets"))[0]
+    return mixture.mix(_wanted_sizes(spark, sf), _t(spark, sf, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.shares(*mixture.mix(_sizes(spark, sf, "doc_id", "source"), _t(spark, sf, "mix_targets")))
+    return mixture.shares(*mixture.mix(_wanted_sizes(spark, sf), _t(spark, sf, "mix_targets")))
+
+
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """For each limit: documents placed, documents placed otherwise than whole or in full parts, overfull containers, and whether the containers are close to the least possible number."""
+    limits = _t(spark, sf, "pack_limits")
+    docs = tokens.with_tokens(_t(spark, sf, "documents").select("doc_id", "text"))
+    return packing.invariants(packing.pack(docs, limits), docs, limits)
+
+
+def p9_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """For each target: whether its share is met within half a hundredth and no document is repeated too often."""
+    s = p9_shares(spark, sf)
+    return s.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.005).alias("share_met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_met"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,6 +234,8 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _P4,
         "p4_turns": _P4_TURNS,
         "p4_sessions": _P4_SESSIONS,
+        "p8_invariants": "SELECT limit_id, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS torn, 0::BIGINT AS overfull, TRUE AS close FROM pack_limits",
+        "p9_bounds": "SELECT lower(trim(source)) AS source, TRUE AS share_met, TRUE AS repeats_met FROM mix_targets WHERE lower(trim(source)) IN (SELECT lower(trim(source)) FROM documents)",
         "p7_found": _P7 + "SELECT DISTINCT r.source, r.id FROM r JOIN b ON r.source = b.source AND b.p = 1 WHERE r.score >= b.score",
         "p7_cutoffs": _P7 + "SELECT source, f AS target_fraction, n, score AS cutoff, kept, kept / n AS kept_share FROM b WHERE p = 1",
     }

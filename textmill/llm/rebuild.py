@@ -264,16 +264,15 @@ def infer_roles(rows: DataFrame) -> DataFrame:
     mark at its end. What nothing tells stays other. ``rows`` are ranges with ``_pid``; what
     crosses their edges is carried in one row for each range.
     """
-    w = Window.partitionBy("conv", PID).orderBy(*ORDER)
+    own, back = Window.partitionBy("conv", PID), Window.unboundedPreceding
     known = F.when(F.col("role") <= ASSISTANT, F.col("role"))
-    rows = rows.withColumns({
-        "prev": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "next": F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-    })
+    # what follows is what comes before in the opposite order, which takes one pass
+    rows = rows.withColumn("prev", F.last(known, ignorenulls=True).over(own.orderBy(*ORDER).rowsBetween(back, -1)))
+    rows = rows.withColumn("next", F.last(known, ignorenulls=True).over(own.orderBy(*[F.col(c).desc() for c in ORDER]).rowsBetween(back, -1)))
     key = F.struct(*ORDER)
     ends = rows.groupBy("conv", PID).agg(F.min_by(known, F.when(known.isNotNull(), key)).alias("head"), F.max_by(known, F.when(known.isNotNull(), key)).alias("tail"))
     v = Window.partitionBy("conv").orderBy(PID)
-    ends = ends.select("conv", PID, F.last("tail", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("p0"), F.first("head", ignorenulls=True).over(v.rowsBetween(1, Window.unboundedFollowing)).alias("n0"))
+    ends = ends.select("conv", PID, F.last("tail", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("p0"), F.last("head", ignorenulls=True).over(Window.partitionBy("conv").orderBy(F.col(PID).desc()).rowsBetween(back, -1)).alias("n0"))
     rows = rows.join(ends, ["conv", PID]).withColumns({"prev": F.coalesce("prev", "p0"), "next": F.coalesce("next", "n0")})
     between = F.coalesce(F.when(F.col("prev") == F.col("next"), 1 - F.col("prev")), F.when(F.col("next").isNull(), 1 - F.col("prev")), F.when(F.col("prev").isNull(), 1 - F.col("next")))
     told = F.coalesce(F.col("near"), F.when(F.col("uses"), F.lit(ASSISTANT)), between, F.when(F.col("asks"), F.lit(USER)), F.lit(OTHER))
