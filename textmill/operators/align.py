@@ -94,10 +94,6 @@ def critique_findings(prompt: Column, response: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit(NO_VIOLATION))).otherwise(found)
 
 
-def critique(prompt: Column, response: Column, pid: Column, english: Column, arabic: Column) -> Column:
-    return F.concat(F.lit("Principle ("), pid, F.lit("):\nEN: "), english, F.lit("\nAR: "), arabic, F.lit("\n\nPrompt:\n"), prompt, F.lit("\n\nResponse under review:\n"), response, F.lit("\n\nCritique:\n- "), F.array_join(critique_findings(prompt, response), "\n- "))
-
-
 def revision(prompt: Column, response: Column, fine: Column) -> Column:
     base = X.falsy_or(X.strip(response), F.lit(EMPTY_ANSWER))
     base = F.when(~F.lower(base).contains("safe") & ~base.contains("آمن"), F.concat(base, F.lit(OFFER))).otherwise(base)

@@ -115,8 +115,14 @@ def sequential(df: DataFrame, key: str, order: list[str], value: str, step: Step
         for v in own[value]:
             state, hit = step(state, v)
             said.append(hit)
-        none = [None] * max(len(own) - 1, 0)
-        return own[[*kinds, "_block"]].assign(**{result: said, "_start": ([begin] if said else []) + none, "_end": ([state] if said else []) + none})
+        ends = pd.Series([None] * len(own), index=own.index, dtype=object)  # the states stand in the first row
+        out = own[[*kinds, "_block"]].assign(**{result: pd.Series(said, index=own.index, dtype=bool)})
+        for name, held in (("_start", begin), ("_end", list(state))):
+            column = ends.copy()
+            if len(own):
+                column.iat[0] = held
+            out[name] = column
+        return out
 
     done = cut(rows.groupBy(key, "_block").applyInPandas(run, schema))
     while True:

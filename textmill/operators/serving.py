@@ -16,6 +16,55 @@ BOS, END_TURN = "<|begin_of_text|>", "<|end_turn|>"
 ASSISTANT = "<|assistant|>"
 
 
+# Bounds of requests, as (least, most) characters or items.
+BOUNDS = {"message": (1, 10_000), "content": (1, 20_000), "history": (0, 50), "question": (1, 10_000), "answer": (1, 20_000), "tags": (0, 50), "query": (0, 500), "username": (3, 50), "password": (8, 100)}
+LIMIT = (1, 200)
+EMAIL = r"^[^@\s]+@[^@\s.]+(?:\.[^@\s.]+)+$"
+
+
+def violations(**fields: Column) -> Column:
+    """The names of the fields that break a bound, as an array; a null field is missing where at least one is asked for.
+
+    Strings are measured in characters and arrays in items. ``role``, ``email``, ``limit``
+    and ``offset`` have their own rules.
+    """
+    found = []
+    for name, c in fields.items():
+        kind = name.split("__")[0]
+        if kind == "role":
+            bad = ~F.coalesce(c.isin("user", "assistant"), F.lit(False))
+        elif kind == "email":
+            bad = ~F.coalesce(c.rlike(EMAIL), F.lit(False))
+        elif kind == "limit":
+            bad = ~F.coalesce(c.between(*LIMIT), F.lit(True))
+        elif kind == "offset":
+            bad = F.coalesce(c < 0, F.lit(False))
+        else:
+            least, most = BOUNDS[kind]
+            size = F.size(c) if kind in ("history", "tags") else F.length(c)
+            bad = ~F.coalesce(size.between(least, most), F.lit(least == 0))
+        found.append(F.when(bad, F.lit(name)))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def owned(rows: DataFrame, wanted: DataFrame, key: str, owner: str) -> DataFrame:
+    """Rows that ``wanted`` (key, owner) asks for and whose owner they are."""
+    return rows.join(wanted.select(key, owner).distinct(), [key, owner], "left_semi")
+
+
+def register(users: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """Users with those of ``new`` (email, username) whose e-mail address and name are valid and free; the first of equals wins."""
+    from textmill.operators.retrieval import append_rows
+
+    low = lambda c: F.lower(F.trim(c))
+    fine = new.where(F.size(violations(email=F.trim("email"), username=F.col("username"))) == 0).select(low("email").alias("email"), "username")
+    fine = fine.groupBy("email").agg(F.min("username").alias("username")).groupBy("username").agg(F.min("email").alias("email"))
+    fine = fine.join(users.select(low("email").alias("email")).distinct(), "email", "left_anti").join(users.select("username").distinct(), "username", "left_anti")
+    kind = users.schema["created_at"].dataType
+    rows = fine.withColumns({"is_active": F.lit(True), "created_at": F.lit(now).cast(kind), "updated_at": F.lit(now).cast(kind)})
+    return append_rows(users, rows, "id", ["email"])
+
+
 def chat_role(role: Column) -> Column:
     """The role of a message that a chat request may hold, else null; roles are taken as they are."""
     return F.when(role.isin("system", "user", "assistant"), role)

@@ -156,6 +156,29 @@ def append_pairs(spark, sf):
     return pairs.select("id", "conversation_id", "role", "used_memory_ids")
 
 
+def request_bounds(spark, sf):
+    """Broken bounds of every kind of request that the tables can stand for."""
+    m, i, u = _rows(spark, sf, "chat_messages"), _rows(spark, sf, "memory_items"), _t(spark, sf, "users")
+    v = lambda df, **f: df.select(F.explode(serving.violations(**f)).alias("field"))
+    out = v(m, role=F.col("role"), content=F.col("content"), message=F.col("content"))
+    out = out.unionByName(v(i, question=F.col("question"), answer=F.col("answer"), tags=R.csv_to_tags(F.col("tags_csv")), limit=F.col("id") % 260, offset=F.col("id") % 7 - 1))
+    return out.unionByName(v(u, email=F.col("email"), username=F.col("username"))).groupBy("field").agg(F.count("*").alias("n"))
+
+
+def owned_memories(spark, sf):
+    """Memories that are asked for by their owner; a third of the questions come from another user."""
+    m = _rows(spark, sf, "memory_items")
+    wanted = m.select("id", F.when(F.col("id") % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"))
+    return serving.owned(m, wanted, "id", "user_id").select("id", "user_id")
+
+
+def register_users(spark, sf):
+    """New accounts: a third take an address that is in use, a third a name that is too short."""
+    u = _t(spark, sf, "users")
+    new = u.select(F.when(F.col("id") % 3 == 0, F.col("email")).otherwise(F.concat(F.lit(" N"), F.col("id").cast("string"), F.lit("@New.example"))).alias("email"), F.when(F.col("id") % 3 == 1, "ab").otherwise(F.concat(F.lit("new"), F.col("id").cast("string"))).alias("username"))
+    return serving.register(u, new, NOW).where(F.col("created_at") == F.lit(NOW).cast("timestamp_ntz")).select("id", "email", "username")
+
+
 def catalog_join(spark, sf):
     """Pages by the catalog entry of their source: licence and estimated tokens."""
     c = readers.catalog(spark).select("name", F.col("source").alias("src"), "license", "estimated_tokens", "language")
@@ -165,7 +188,7 @@ def catalog_join(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     openai_requests, anthropic_requests, response_usage, last_user_message, rag_prompt, chat_prompts, local_prompts, bilingual_principles, principle_subsets, principle_lookup, constitutional_set, client_ids, time_formats, map_without,
-    sse_roundtrip, joined_chunks, create_memories, delete_memories, rename_conversations, append_pairs, catalog_join,
+    sse_roundtrip, joined_chunks, create_memories, delete_memories, rename_conversations, append_pairs, request_bounds, owned_memories, register_users, catalog_join,
 )}
 
 _M = "(SELECT DISTINCT * FROM memory_items)"
@@ -212,5 +235,14 @@ UNION ALL SELECT id, (least(n, 20) + 1)::INT, 'user', {S.lit(ASKED)} FROM a""",
     "delete_memories": f"SELECT id FROM {_M} WHERE id % 8 <> 0 OR user_id IS NULL",
     "rename_conversations": f"SELECT id, CASE WHEN id % 5 = 0 THEN 'Talk ' || id ELSE title END AS title, CASE WHEN id % 5 = 0 THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM (SELECT DISTINCT * FROM conversations)",
     "append_pairs": f"SELECT id * 2 + k AS id, user_id AS conversation_id, CASE WHEN k = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN k = 1 THEN CAST(id AS VARCHAR) END AS used_memory_ids FROM {_M}, range(2) r(k) WHERE user_id IS NOT NULL",
+    "request_bounds": f"""WITH m AS {_C}, i AS {_M}, v AS (
+  SELECT 'role' AS field FROM m WHERE NOT coalesce(role IN ('user', 'assistant'), FALSE)
+  UNION ALL SELECT 'content' FROM m WHERE NOT coalesce(length(content) BETWEEN 1 AND 20000, FALSE) UNION ALL SELECT 'message' FROM m WHERE NOT coalesce(length(content) BETWEEN 1 AND 10000, FALSE)
+  UNION ALL SELECT 'question' FROM i WHERE NOT coalesce(length(question) BETWEEN 1 AND 10000, FALSE) UNION ALL SELECT 'answer' FROM i WHERE NOT coalesce(length(answer) BETWEEN 1 AND 20000, FALSE)
+  UNION ALL SELECT 'tags' FROM i WHERE len({_TAGS}) > 50 UNION ALL SELECT 'limit' FROM i WHERE NOT id % 260 BETWEEN 1 AND 200 UNION ALL SELECT 'offset' FROM i WHERE id % 7 = 0
+  UNION ALL SELECT 'email' FROM users WHERE NOT coalesce(regexp_matches(email, '{serving.EMAIL}'), FALSE) UNION ALL SELECT 'username' FROM users WHERE NOT coalesce(length(username) BETWEEN 3 AND 50, FALSE))
+SELECT field, count(*) AS n FROM v GROUP BY field""",
+    "owned_memories": f"SELECT id, user_id FROM {_M} WHERE id % 3 <> 0 AND user_id IS NOT NULL",
+    "register_users": "SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY 'n' || id || '@new.example') AS id, 'n' || id || '@new.example' AS email, 'new' || id AS username FROM users WHERE id % 3 = 2",
     "catalog_join": f"SELECT name, license, estimated_tokens, count(*) AS pages FROM (SELECT DISTINCT id, source, lower(trim(language)) AS lang FROM corpus_pages) JOIN {_CATALOG} ON source = src AND lang = language GROUP BY 1, 2, 3",
 }

@@ -172,6 +172,29 @@ def read_table_url(spark: SparkSession, url: str, table: str, **options: str) ->
     return reader.options(dbtable=table, **options).load()
 
 
+def hub_dataset(spark: SparkSession, root: str, source: str, subset: str | None = None, split: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """A data set kept under ``root`` as source/subset/split, each part of the path if it is given."""
+    path = "/".join([root.rstrip("/"), *[p for p in (source, subset, split) if p]])
+    return spark.read.format(fmt).option("recursiveFileLookup", "true").load(path)
+
+
+def load_config(path: str) -> dict:
+    """Settings from a YAML file (JSON is YAML too); what isn't a mapping is an error."""
+    import json
+    from pathlib import Path
+
+    text = Path(path).read_text(encoding="utf-8")
+    try:
+        import yaml
+    except ImportError:  # without the library, JSON only
+        out = json.loads(text)
+    else:
+        out = yaml.safe_load(text)
+    if not isinstance(out, dict):
+        raise TypeError("a configuration must be a mapping")
+    return out
+
+
 def merge_config(shared: dict, stage: dict) -> dict:
     """Settings of a stage over the shared ones; both must be mappings."""
     if not isinstance(shared, dict) or not isinstance(stage, dict):

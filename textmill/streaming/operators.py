@@ -56,3 +56,31 @@ def join_chunks(events: DataFrame) -> DataFrame:
 def micro_batches(stream: DataFrame, handle, path: str, files: int = 8, interval: str = "10 seconds"):
     """Hand each micro-batch to ``handle(batch, id)``; the number of files for each is set where the stream is read."""
     return stream.writeStream.trigger(processingTime=interval).option("checkpointLocation", path).foreachBatch(handle).start()
+
+
+def loss_spikes(stream: DataFrame, key: str, order: str, value: str, step=None) -> DataFrame:
+    """Rows with ``spike``, by the history of each key's losses that were no spikes.
+
+    State is that of ``sequence.spike_step``: at most fifty losses for each key. Rows of a
+    micro-batch are taken in order.
+    """
+    from textmill.operators.sequence import spike_step
+
+    step = step or spike_step()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + ", spike boolean"
+
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = [float(x) for x in state.get[0]] if state.exists else []
+        part, out = pd.concat(list(parts)).sort_values(order, kind="stable"), []
+        for v in part[value]:
+            seen, hit = step(seen, v)
+            out.append(hit)
+        state.update((seen,))
+        yield part.assign(spike=out)
+
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "seen array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def iterate(df: DataFrame, prefetch: bool = True) -> Iterator:
+    """Rows one by one, partition by partition; only one partition (two with ``prefetch``) is held at a time."""
+    return df.toLocalIterator(prefetchPartitions=prefetch)
