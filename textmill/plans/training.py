@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from textmill.functions import text as X
 from textmill.operators import conversation as C
 from textmill.operators import convert, retrieval, samples, sequence, tokenize
-from textmill.plans import assistant
+from textmill.operators.prefix import ranges_for
+from textmill.plans import assistant, corpus
 from textmill.plans import sqltext as S
 from textmill.session import ensure_checkpoint_dir, ship
 from textmill.sources import readers, sinks
@@ -216,12 +217,12 @@ def jsonl_by_source(spark, sf):
     return spark.read.json(path).groupBy("source").agg(F.count("*").alias("n")).withColumn("written", F.lit(n))
 
 
-def random_lines(spark, sf):
-    """Lines of record files by their number in (file, line) order."""
+def numbered_lines(spark, sf):
+    """Lines of record files with their number in (file, line) order, by which they can be looked up."""
     path = _folder(spark)
-    _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("value")).coalesce(1).sortWithinPartitions(F.col("value").cast("bigint")).write.text(path)
-    wanted = spark.range(0, 1000, 7).select(F.col("id").alias("line_no"))
-    return readers.lines_at(spark, path, wanted)
+    lines = _t(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("value"))
+    lines.repartitionByRange(ranges_for(spark), "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    return readers.numbered_lines(spark, path)
 
 
 def eval_texts(spark, sf):
@@ -266,7 +267,7 @@ def config_merge(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     encode_decode, encode_conversations, encode_raw, special_tokens, fragmentation, pretrain_samples, pretrain_encoded, sft_samples, collated_batches, shuffled_share, first_examples, capped_download, latest_checkpoint, identity_questions, synthetic_prompts,
-    dolly_examples, alpaca_examples, message_trees, jsonl_tolerant, jsonl_bad_lines, jsonl_by_source, random_lines, eval_texts, choice_items, arabic_questions, parallel_texts, normalized_records, manifest_upsert, config_merge,
+    dolly_examples, alpaca_examples, message_trees, jsonl_tolerant, jsonl_bad_lines, jsonl_by_source, numbered_lines, eval_texts, choice_items, arabic_questions, parallel_texts, normalized_records, manifest_upsert, config_merge,
 )}
 
 _M = "(SELECT DISTINCT * FROM memory_items)"
@@ -300,7 +301,7 @@ _DIRTY = "SELECT doc_id // 10 % 4 AS k FROM documents WHERE doc_id % 10 = 0"
 SQL = {
     "encode_decode": "SELECT doc_id, md5(text) AS text FROM documents WHERE text IS NOT NULL",
     "encode_conversations": assistant.SQL["conversation_format"],
-    "encode_raw": "SELECT doc_id, md5(coalesce(normalized, '')) AS text FROM (" + __import__("textmill.plans.corpus", fromlist=["SQL"]).SQL["tokenizer_normalize"] + ")",
+    "encode_raw": "SELECT doc_id, md5(coalesce(normalized, '')) AS text FROM (" + corpus.SQL["tokenizer_normalize"] + ")",
     "special_tokens": "SELECT * FROM (VALUES " + ", ".join(f"({S.lit(t)}, {i}, {i})" for i, t in enumerate(tokenize.SPECIAL)) + ") v(token, place, behind)",
     "pretrain_samples": f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS uid, {_HW('text')} AS ids FROM documents),
 w AS (SELECT uid, unnest(ids) AS x, unnest(range(len(ids))) AS i FROM d WHERE len(ids) > 0), n AS (SELECT uid, x, row_number() OVER (ORDER BY uid, i) - 1 AS p FROM w),
@@ -323,7 +324,7 @@ SELECT CAST(id AS VARCHAR) AS leaf_id, (length(roles) + 1)::INT AS turns, 's' ||
     "jsonl_tolerant": "SELECT doc_id AS id, source, md5(text) AS text FROM documents",
     "jsonl_bad_lines": f"SELECT CASE k WHEN 1 THEN 'malformed' ELSE 'no object' END AS kind, count(*) AS n FROM ({_DIRTY}) WHERE k > 0 GROUP BY 1",
     "jsonl_by_source": "SELECT source, count(*) AS n, (SELECT count(*) FROM documents WHERE source IS NOT NULL) AS written FROM documents WHERE source IS NOT NULL GROUP BY 1",
-    "random_lines": "SELECT line_no, value FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, CAST(doc_id AS VARCHAR) AS value FROM documents) WHERE line_no < 1000 AND line_no % 7 = 0",
+    "numbered_lines": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, CAST(doc_id AS VARCHAR) AS value FROM documents",
     "eval_texts": "SELECT md5(text) AS text, count(*) AS n FROM corpus_pages WHERE text <> '' GROUP BY 1",
     "choice_items": f"SELECT md5(CASE WHEN id % 2 = 0 OR question = '' THEN nullif(question, '') ELSE question END) AS ctx, 2 AS endings, CASE WHEN id % 3 <> 0 THEN (id % 2)::INT END AS label FROM {_M}",
     "arabic_questions": f"SELECT md5(question) AS question, 1 AS answers FROM {_M} WHERE id % 3 = 0 OR (id % 3 = 2 AND id % 2 = 0)",
