@@ -97,28 +97,36 @@ def minhash_classes(sets: DataFrame, threshold: float, bands: int = 24, rows: in
 
 
 def keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, kept): a node is dropped if a kept node before it is similar, in rounds until all are decided."""
-    edges = cut(pairs.select("a", "b"))
-    state = cut(nodes.select("id").withColumn("kept", F.lit(None).cast("boolean")))
-    while True:
-        # keep what has no undecided or kept node before it; then drop what has a kept node before it
-        blocked = edges.join(state.where("kept is null or kept").select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().withColumn("blocked", F.lit(True))
-        one = state.join(blocked, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("blocked").isNull(), F.lit(True)).alias("kept"))
-        one = cut(one)
-        hit = edges.join(one.where("kept").select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().withColumn("hit", F.lit(True))
-        state = cut(one.join(hit, "id", "left").select("id", F.when(F.col("kept").isNull() & F.col("hit"), F.lit(False)).otherwise(F.col("kept")).alias("kept")))
-        if state.where("kept is null").isEmpty():
-            return state
-
-
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.85, minhash: bool = False) -> DataFrame:
+    """(id, kept): a node is dropped if a kept node before it is similar.
+
+    In each round the nodes that no undecided one stands before are kept and what is similar
+    to them is dropped; pairs of dropped nodes go, so that a round works on what is still
+    undecided only. Nodes without a pair are kept at once.
+    """
+    left = cut(pairs.select("a", "b"))
+    lost: DataFrame | None = None
+    while not left.isEmpty():
+        heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        hit = cut(left.join(heads, "a", "left_semi").select("b").distinct())
+        left = cut(left.join(hit, "b", "left_anti").join(hit.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"))
+        lost = hit if lost is None else lost.unionByName(hit)
+    if lost is None:
+        return nodes.select("id", F.lit(True).alias("kept"))
+    gone = lost.select(F.col("b").alias("id"), F.lit(True).alias("gone"))
+    return nodes.select("id").join(gone, "id", "left").select("id", F.col("gone").isNull().alias("kept"))
+
+
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.85, minhash: bool = False, keep: bool = True) -> DataFrame:
     """(id, class_id, links, kept): the class of equal word sets, how many other classes are similar, and whether the row stays.
 
-    Pairs are found by the exact join, or by ``minhash``.
+    Pairs are found by the exact join, or by ``minhash``. Without ``keep`` what stays isn't
+    decided and ``kept`` is missing.
     """
     member, sets = word_sets(df, id_col, text_col)
     pairs = cut((minhash_classes if minhash else similar_classes)(sets, threshold))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    if not keep:
+        return member.join(links, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
     kept = keep_first(sets.select(F.col("class_id").alias("id")), pairs).select(F.col("id").alias("class_id"), F.col("kept").alias("stays"))
     out = member.join(links, "class_id", "left").join(kept, "class_id")
     return out.select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), (F.col("stays") & (F.col("id") == F.col("class_id"))).alias("kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import median
 
 import pandas as pd
@@ -102,36 +102,52 @@ def sequential(df: DataFrame, key: str, order: list[str], value: str, step: Step
     the whole key, and rows of a key that never pauses are still done by many tasks.
     ``order`` must end in a unique column.
     """
-    rows = cut(with_history(df, key, order, warm, block))
+    rows = cut(with_history(df, key, order, warm, block).withColumn("_from", F.lit(None).cast("array<double>")))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [*kinds, "_block", result, "_start", "_end"]
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", _block bigint, `{result}` boolean, _start array<double>, _end array<double>"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        state: list[float] = [] if "_from" not in part or part["_from"].iloc[0] is None else [float(x) for x in part["_from"].iloc[0]]
-        for v in part.loc[part["_old"], value]:
-            state, _ = step(state, v)
-        begin, own, said = list(state), part[~part["_old"]], []
-        for v in own[value]:
-            state, hit = step(state, v)
-            said.append(hit)
-        ends = pd.Series([None] * len(own), index=own.index, dtype=object)  # the states stand in the first row
-        out = own[[*kinds, "_block"]].assign(**{result: pd.Series(said, index=own.index, dtype=bool)})
-        for name, held in (("_start", begin), ("_end", list(state))):
-            column = ends.copy()
-            if len(own):
-                column.iat[0] = held
-            out[name] = column
-        return out
-
-    done = cut(rows.groupBy(key, "_block").applyInPandas(run, schema))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks one behind the other; a row with ``_end`` and without ``result`` closes each."""
+        at, state, begin = None, [], None
+        for part in batches:
+            out = []
+            for row, old, first, v in zip(part[[*kinds, "_block"]].itertuples(index=False, name=None), part["_old"], part["_from"], part[value]):
+                here = (row[where], row[-1])
+                if here != at:
+                    if begin is not None:
+                        out.append(closing(at, begin, state))
+                    at, begin = here, None
+                    state = [] if first is None else [float(x) for x in first]
+                if not old and begin is None:
+                    begin = list(state)
+                state, hit = step(state, v)
+                if not old:
+                    out.append((*row, hit, None, None))
+            if out:
+                yield frame(out)
+        if begin is not None:
+            yield frame([closing(at, begin, state)])
+
+    where = list(kinds).index(key)
+
+    def closing(at: tuple, begin: list[float], end: list[float]) -> tuple:
+        return (*[at[0] if c == key else None for c in kinds], at[1], None, begin, list(end))
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in zip(names, zip(*out))})
+
+    def folded(rows: DataFrame) -> DataFrame:
+        return rows.repartition(key, "_block").sortWithinPartitions(key, "_block", *order).mapInPandas(run, schema)
+
+    done = cut(folded(rows))
     while True:
         w = Window.partitionBy(key).orderBy("_block")  # one row for each block
-        ends = done.where("_start is not null").select(key, "_block", "_start", "_end").withColumn("_from", F.lag("_end").over(w))
+        ends = done.where("_end is not null").select(key, "_block", "_start", "_end").withColumn("_from", F.lag("_end").over(w))
         wrong = cut(ends.where("_from is not null and _from <> _start").select(key, "_block", "_from"))
         if wrong.isEmpty():
-            return done.drop("_block", "_start", "_end")
-        again = rows.where("not _old").join(wrong, [key, "_block"]).groupBy(key, "_block").applyInPandas(run, schema)
+            return done.where("_end is null").drop("_block", "_start", "_end")
+        again = folded(rows.where("not _old").drop("_from").join(wrong, [key, "_block"]))
         done = cut(done.join(wrong.select(key, "_block"), [key, "_block"], "left_anti").unionByName(again))
 
 

@@ -100,7 +100,7 @@ def exact_dedup_documents(spark, sf):
 
 
 def near_dup_classes(spark, sf):
-    return dedup.near_duplicates(_docs(spark, sf), "doc_id", "text", 0.85).select("id", "class_id", "links")
+    return dedup.near_duplicates(_docs(spark, sf), "doc_id", "text", 0.85, keep=False)
 
 
 def near_dup_keep_first(spark, sf):
