@@ -111,7 +111,7 @@ _PERSON_AFTER = re.compile(r"(?:['’]s)? (?:said|says|wrote|writes|called|asked
 COMMON = frozenset(
     """monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december english arabic french german spanish
     montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember deutsch englisch lundi mardi mercredi jeudi vendredi samedi dimanche lunes martes miércoles jueves viernes sábado domingo
-    internet python java sql api html css json okay ok yes no sure note example summary step question answer hello sorry fathy""".split()
+    internet python java sql api html css json okay ok yes no sure note example summary step question answer hello sorry""".split()
 )
 
 
