@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from statistics import median
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from textmill.session import cut
 # Defaults of the shards of tokenizer training.
 SHARD_BYTES = 256 * 1024**2
 MAX_CORPUS_BYTES = 10 * 1024**3
+# At most so many blocks' states are broadcast.
+MOST_STARTS = 10_000
 
 
 def deficit_cycle(ratios: dict[str, float], steps: int) -> list[str]:
@@ -98,57 +100,70 @@ def sequential(df: DataFrame, key: str, order: list[str], value: str, step: Step
 
     A key of any size is spread over blocks. Each block starts from the state that the
     ``warm`` rows before it lead to; where the block before ends in another state, the block
-    is done again from that one, until all states join. The result is that of one pass over
+    is done again from that one, until all states join. These rounds keep the states at the
+    blocks' ends only; the rows are written once, when all starts are known. The result is that of one pass over
     the whole key, and rows of a key that never pauses are still done by many tasks.
     ``order`` must end in a unique column.
     """
-    rows = cut(with_history(df, key, order, warm, block).withColumn("_from", F.lit(None).cast("array<double>")))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    names = [*kinds, "_block", result, "_start", "_end"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", _block bigint, `{result}` boolean, _start array<double>, _end array<double>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks one behind the other; a row with ``_end`` and without ``result`` closes each."""
-        at, state, begin = None, [], None
-        for part in batches:
-            out = []
-            for row, old, first, v in zip(part[[*kinds, "_block"]].itertuples(index=False, name=None), part["_old"], part["_from"], part[value]):
-                here = (row[where], row[-1])
-                if here != at:
-                    if begin is not None:
-                        out.append(closing(at, begin, state))
-                    at, begin = here, None
-                    state = [] if first is None else [float(x) for x in first]
-                if not old and begin is None:
-                    begin = list(state)
-                state, hit = step(state, v)
-                if not old:
-                    out.append((*row, hit, None, None))
-            if out:
-                yield frame(out)
-        if begin is not None:
-            yield frame([closing(at, begin, state)])
-
-    where = list(kinds).index(key)
-
-    def closing(at: tuple, begin: list[float], end: list[float]) -> tuple:
-        return (*[at[0] if c == key else None for c in kinds], at[1], None, begin, list(end))
-
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in zip(names, zip(*out))})
-
-    def folded(rows: DataFrame) -> DataFrame:
-        return rows.repartition(key, "_block").sortWithinPartitions(key, "_block", *order).mapInPandas(run, schema)
-
-    done = cut(folded(rows))
+    found = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", `{result}` boolean"
+    closed = f"`{key}` {kinds[key]}, _block bigint, _start array<double>, _end array<double>"
+
+    def runner(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Blocks one behind the other: the rows with what is said of each if ``whole``, else the states at either end of each block."""
+
+        def closing(kind: pa.DataType, ends: list[tuple]) -> pa.RecordBatch:
+            numbers = pa.list_(pa.float64())
+            k, block, start, end = zip(*ends)
+            return pa.RecordBatch.from_arrays([pa.array(k, kind), pa.array(block, pa.int64()), pa.array(start, numbers), pa.array(end, numbers)], [key, "_block", "_start", "_end"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, state, begin, kind = None, [], None, None
+            for part in batches:
+                hits, ends = [], []
+                kind = part.schema.field(key).type
+                first, old = part.column("_from"), part.column("_old")
+                for i, (k, block, past, v) in enumerate(zip(*(part.column(c).to_pylist() for c in (key, "_block", "_old", value)))):
+                    if at is None or block != at[1] or k != at[0]:
+                        if begin is not None:
+                            ends.append((*at, begin, list(state)))
+                        at, begin = (k, block), None
+                        state = [float(x) for x in first[i].as_py() or ()]
+                    if not past and begin is None:
+                        begin = list(state)
+                    state, hit = step(state, v)
+                    if not past:
+                        hits.append(hit)
+                if whole and hits:
+                    rows = part.filter(pc.invert(old))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kinds), pa.array(hits, pa.bool_())], [*kinds, result])
+                elif ends and not whole:
+                    yield closing(kind, ends)
+            if begin is not None and not whole:
+                yield closing(kind, [(*at, begin, list(state))])
+
+        return run
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.repartition(key, "_block").sortWithinPartitions(key, "_block", *order)
+
+    def started(rows: DataFrame, starts: DataFrame) -> DataFrame:
+        """Rows of the blocks in ``starts``, each block's from its own state; a broadcast leaves them in their places."""
+        few = starts.limit(MOST_STARTS + 1).count() <= MOST_STARTS
+        other = starts.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), "_from")
+        own = rows.where("not _old").join(F.broadcast(other) if few else other, same).drop("_k", "_b")
+        return own if few else placed(own)
+
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))
+    rows = cut(placed(with_history(df, key, order, warm, block)))
+    ends = cut(rows.withColumn("_from", F.lit(None).cast("array<double>")).mapInArrow(runner(False), closed))
     while True:
         w = Window.partitionBy(key).orderBy("_block")  # one row for each block
-        ends = done.where("_end is not null").select(key, "_block", "_start", "_end").withColumn("_from", F.lag("_end").over(w))
-        wrong = cut(ends.where("_from is not null and _from <> _start").select(key, "_block", "_from"))
+        wrong = cut(ends.withColumn("_from", F.lag("_end").over(w)).where("_from is not null and _from <> _start").select(key, "_block", "_from"))
         if wrong.isEmpty():
-            return done.where("_end is null").drop("_block", "_start", "_end")
-        again = folded(rows.where("not _old").drop("_from").join(wrong, [key, "_block"]))
-        done = cut(done.join(wrong.select(key, "_block"), [key, "_block"], "left_anti").unionByName(again))
+            return started(rows, ends.select(key, "_block", F.col("_start").alias("_from"))).mapInArrow(runner(True), found)
+        again = started(rows, wrong).mapInArrow(runner(False), closed)
+        ends = cut(ends.join(wrong.select(F.col(key).alias("_k"), F.col("_block").alias("_b")), same, "left_anti").unionByName(again))
 
 
 def accept_step(limit: int, seconds: int) -> Step:
@@ -170,7 +185,8 @@ def spike_step(times: float = 3.0, window: int = 50, least: int = 3) -> Step:
         if loss is None or loss != loss:
             return seen, False
         if len(seen) >= least:
-            middle = median(seen)
+            s, half = sorted(seen), len(seen) // 2
+            middle = s[half] if len(s) % 2 else (s[half - 1] + s[half]) / 2
             if middle > 0 and loss > times * middle:
                 return seen, True
         return [*seen, float(loss)][-window:], False
