@@ -113,14 +113,14 @@ def minhash_classes(spark, sf):
 
 
 def _conversations(spark, sf):
-    e = spark.read.parquet(f"{sf}/instruction_examples.parquet").where("size(conversation) > 0").dropDuplicates(["id"])
+    e = spark.read.parquet(f"{sf}/instruction_examples.parquet").where("size(conversation) > 0")
     return e.select("id", F.array_join(F.transform(clean_turns(F.col("conversation")), lambda t: t["content"]), " ").alias("text"))
 
 
 def conversation_near_dedup(spark, sf):
     """Conversations of similar words (.9) whatever their roles; the first of each stays."""
     ship(spark)
-    return dedup.near_duplicates(_conversations(spark, sf), "id", "text", 0.9).select("id", "class_id", "links", "kept")
+    return dedup.near_duplicates(_conversations(spark, sf), "id", "text", 0.9, once=True).select("id", "class_id", "links", "kept")
 
 
 def hash_sample(spark, sf):
