@@ -175,9 +175,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (ka, kb) of numbered sets with their similarity, those of at least ``threshold``."""
     wanted = pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct()
     own = sets.join(bounded_broadcast(wanted, 1_000_000), "k", "left_semi").dropDuplicates(["k", "class_id"])
-    left, right = (own.select(F.col("k").alias(f"k{x}"), F.col("class_id").alias(f"c{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
-    both = F.size(F.array_intersect("wa", "wb"))
-    checked = pairs.join(left, "ka").join(right, "kb").select("ca", "cb", F.size("wa").alias("na"), F.size("wb").alias("nb"), F.explode(F.array(both)).alias("both"))  # counted once, before the filter
+    left, right = (own.select(F.col("k").alias(f"k{x}"), F.col("class_id").alias(f"c{x}"), F.size("words").alias(f"n{x}"), F.array_join("words", "\x1f").alias(f"w{x}")) for x in "ab")  # as one string each takes a fraction of the room
+    both = F.size(F.array_intersect(F.split("wa", "\x1f"), F.split("wb", "\x1f")))
+    checked = pairs.join(left, "ka").join(right, "kb").select("ca", "cb", "na", "nb", F.explode(F.array(both)).alias("both"))  # counted once, before the filter
     checked = checked.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("similarity") >= threshold)
     return checked.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "similarity")
 
