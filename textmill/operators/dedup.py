@@ -18,7 +18,11 @@ from textmill.session import bounded_broadcast, cut
 PIECE = 200_000
 # At most so many pairs are decided in one task; more are decided in rounds.
 TOGETHER = 1_000_000
-MEETING = "key bigint, k bigint, at bigint, s0 bigint, s1 bigint"
+# Sets of so many words carry a longer sketch too where they meet in bands.
+LONG = 200
+# What is often equal or zero stands side by side, so that it is compressed: the first two columns and 24 bits of the key.
+MEETING = "more binary, at bigint, key bigint, k bigint, s0 bigint, s1 bigint"
+KEY = np.uint64(2**64 - 2**24)
 
 
 def _key(words: Column) -> Column:
@@ -39,7 +43,7 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, once: bool = False) ->
     every = cut(rows.select("id", "h"))
     own = every.groupBy("id").agg(F.min("h").alias("h")) if once else every
     classes = own.groupBy("h").agg(F.min("id").alias("class_id"))
-    others = every.join(classes.select("h", F.col("class_id").alias("id")), ["id", "h"], "left_anti").distinct()
+    others = cut(every.join(classes.select("h", F.col("class_id").alias("id")), ["id", "h"], "left_anti").distinct())
     sets = rows.join(bounded_broadcast(others, 500_000), ["id", "h"], "left_anti")
     return own.join(classes, "h").select("id", "class_id"), sets.select(F.col("id").alias("class_id"), "words")
 
@@ -62,8 +66,38 @@ def _sketch(x: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where((bit < 64) == low, mark, np.uint64(0)), start) for low in (True, False)]
 
 
-def _rows(key: np.ndarray, k: np.ndarray, at: np.ndarray, sketch: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (key, k, at, *sketch)], ["key", "k", "at", "s0", "s1"])
+def _more(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Another sketch of each long set, of more than half as many bits as it has words; None for others.
+
+    Long sets may differ in so many words that 128 bits drop hardly any pair of them. The
+    number of bits is a power of two, 512 at least.
+    """
+    out, end = np.full(len(start), None, dtype=object), np.append(start[1:], len(x))
+    for i in np.flatnonzero(end - start >= LONG):
+        bits = max(512, 1 << (int(end[i] - start[i]).bit_length() - 1))
+        bit = _mixed(x[start[i] : end[i]] ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(bits - 1)
+        own = np.zeros(bits // 64, np.uint64)
+        np.bitwise_xor.at(own, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+        out[i] = own.tobytes()
+    return out
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits two columns of longer sketches differ; the larger is folded to the bits of the smaller."""
+    out, la, lb = np.zeros(len(a), np.int64), np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    for m, n in np.unique(np.stack([la, lb], 1), axis=0):
+        rows = np.flatnonzero((la == m) & (lb == n))
+        for some in np.array_split(rows, len(rows) // 50_000 + 1):
+            u, v = (np.frombuffer(b"".join(x[some]), np.uint64).reshape(len(some), -1) for x in (a, b))
+            while u.shape[1] != v.shape[1]:
+                u, v = sorted((u, v), key=lambda x: x.shape[1])
+                v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
+            out[some] = np.bitwise_count(u ^ v).sum(1)
+    return out
+
+
+def _rows(key: np.ndarray, k: np.ndarray, at: np.ndarray, sketch: list[np.ndarray], more: pa.Array | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.binary()) if more is None else more, *(pa.array(c.view(np.int64)) for c in (at, key & KEY, k, *sketch))], ["more", "at", "key", "k", "s0", "s1"])
 
 
 Meeting = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]], Iterator[pa.RecordBatch]]
@@ -76,7 +110,7 @@ def _meet(sets: DataFrame, threshold: float, places: Meeting) -> DataFrame:
     with the start of each set's, and sketches. It gives rows of ``MEETING``; ``at`` holds the
     size, the place and a mark for sets that only look for larger ones here. A pair meets in
     the first places only, as many as the words in which it may differ and one. What differs
-    in too many bits of the sketch isn't a pair; only the others are checked word by word.
+    in too many bits of a sketch isn't a pair; only the others are checked word by word.
     """
     least = math.ceil(threshold / (1 - threshold) - 1e-9)  # n / (n + 1) >= t
     differ = (1 - threshold) / (1 + threshold)
@@ -91,9 +125,17 @@ def _meet(sets: DataFrame, threshold: float, places: Meeting) -> DataFrame:
                 x, start = np.asarray(lists.flatten()).view(np.uint64), np.cumsum(n) - n
                 yield from places(np.asarray(part.column("k")), n, x, start, _sketch(x, start))
 
+    def alike(more: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether the longer sketches leave it open that a pair is similar."""
+        out = np.ones(len(i), bool)
+        long = np.flatnonzero([a is not None and b is not None for a, b in zip(more[i], more[j])])
+        if len(long):
+            out[long] = _differing(more[i[long]], more[j[long]]) <= most[long]
+        return out
+
     def compared(c: list[np.ndarray]) -> pa.RecordBatch:
         """Pairs of whole groups of rows, sorted by key and size."""
-        key, k, at, sketch = c[0], c[1], c[2], [x.view(np.uint64) for x in c[3:]]
+        more, at, key, k, sketch = *c[:4], [x.view(np.uint64) for x in c[4:]]
         n, place, small = at >> 32, (at >> 1) & 0x7FFFFFFF, (at & 1) == 1
         i, shift, found = np.arange(len(key)), 0, []
         while True:
@@ -107,6 +149,7 @@ def _meet(sets: DataFrame, threshold: float, places: Meeting) -> DataFrame:
             most = np.floor(differ * (n[i] + n[j]) + 1e-6)
             near = ~small[j] & (k[i] != k[j]) & (place[i] <= most)
             near &= sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch) <= most
+            near[near] = alike(more, i[near], j[near], most[near])
             if near.any():
                 a, b = k[i[near]], k[j[near]]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
@@ -117,11 +160,11 @@ def _meet(sets: DataFrame, threshold: float, places: Meeting) -> DataFrame:
         held: list[list[np.ndarray]] = []
         count, enough = 0, PIECE
         for part in batches:
-            held.append([np.asarray(c) for c in part.columns])
+            held.append([c.to_numpy(zero_copy_only=False) for c in part.columns])
             count += part.num_rows
             if count >= enough:
                 c = [np.concatenate(x) for x in zip(*held)]
-                whole = int(np.searchsorted(c[0], c[0][-1]))  # the last group may go on
+                whole = int(np.searchsorted(c[2], c[2][-1]))  # the last group may go on
                 if whole:
                     yield compared([x[:whole] for x in c])
                 held, count = [[x[whole:] for x in c]], count - whole
@@ -197,11 +240,12 @@ def minhash_classes(sets: DataFrame, threshold: float, bands: int = 24, rows: in
         for i in range(k):
             y = x * mul[i] + add[i]
             low[i] = np.minimum.reduceat(y ^ (y >> np.uint64(29)), start)
+        more = pa.array(_more(x, start), pa.binary())
         for band in range(bands):
             key = np.full(len(n), band, dtype=np.uint64)
             for i in range(band * rows, (band + 1) * rows):
                 key = _mixed(key + low[i])
-            yield _rows(key, numbers, n << 32, sketch)
+            yield _rows(key, numbers, n << 32, sketch, more)
 
     return _meet(sets, threshold, places)
 
